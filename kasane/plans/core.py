@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from kasane.operators import hierarchy, history, snapshots
+from pyspark.sql import functions as F
+
+from kasane.operators import badrows, drift, hierarchy, history, snapshots
 from kasane.runtime import table
 
 
@@ -38,7 +40,29 @@ def _p4_periods(spark, d):
     return history.record_history(table(spark, d, "storage_record"))
 
 
+def _p3_found(spark, d):
+    return drift.field_changes(table(spark, d, "source_record"), table(spark, d, "source_file"))
+
+
+def _p3_unified(spark, d):
+    return drift.unified_rows(table(spark, d, "source_record"), table(spark, d, "source_file"))
+
+
+def _p6_found(spark, d):
+    _, bad = badrows.split_rows(table(spark, d, "raw_record"), table(spark, d, "source_file"))
+    return bad.select("file_id", "line_number", "reason")
+
+
+def _p6_loaded(spark, d):
+    good, _ = badrows.split_rows(table(spark, d, "raw_record"), table(spark, d, "source_file"))
+    return good.select("file_id", "line_number", "data_group", F.size("cells").cast("long").alias("n_cells"))
+
+
 QUERIES = {
+    "p3_found": _p3_found,
+    "p3_unified": _p3_unified,
+    "p6_found": _p6_found,
+    "p6_loaded": _p6_loaded,
     "p1_found": _p1_found,
     "p1_summary": _p1_summary,
     "p2_found": _p2_found,
