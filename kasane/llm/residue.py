@@ -47,7 +47,9 @@ MESSAGES = re.compile(
     r"|something went wrong|^oops\b|unexpected (?:condition|error)|refused to hand out|administrators? ha(?:s|ve) been informed|being maintained|under maintenance"
     r"|try again (?:in|later)|please (?:reload|refresh|try again|log in|sign in|enable)|access to .{1,60} is denied|you (?:lack|do not have) (?:the |a )?(?:valid )?(?:permission|licen[cs]e|access|right)"
     r"|session has (?:ended|expired|timed out)|(?:sign|log) in again|no entries can be shown|check that scripts|switch scripting|reload the page|too many requests|request (?:timed out|could not be)"
-    r"|スクリプトが(?:動作して|無効|オフ|許可)|スクリプトの許可|(?:javascript|スクリプト)を有効|javascriptが(?:オフ|無効)|(?:ページ|url|リンク|ファイル).{0,12}(?:見つかりません|存在しない|存在しません|移動した)"
+    r"|\btraceback\b|^\W*\w*(?:error|exception)\W*:|(?:lookup|query|request|connection|operation) (?:failed|lost|refused|reset|aborted|timed out)|unhandled exception|stack trace|syntax error|permission denied"
+    r"|did not (?:answer|respond)|(?:back ?end|host|server|gateway|database|service) (?:is )?(?:unreachable|down|not responding|unavailable)|upstream (?:closed|error|timed out|prematurely)|\bquery ?: ?select\b|no such (?:file|table|column|page)|could not be loaded"
+    r"|トップページへ(?:お)?戻|スクリプトが(?:動作して|無効|オフ|許可)|スクリプトの許可|(?:javascript|スクリプト)を有効|javascriptが(?:オフ|無効)|(?:ページ|url|リンク|ファイル).{0,12}(?:見つかりません|存在しない|存在しません|移動した)"
     r"|権限がありません|アクセスが拒否|有効期限が切れ|再度(?:ログイン|アクセス|お試し|読み込)|(?:混み合って|込み合って)い|メンテナンス中|エラーが発生|内部エラー|エラー番号|エラーコード|管理者に(?:お問い合わせ|連絡)"
     r"|(?:表示|描画|読込み|読み込み|接続|処理)(?:に失敗し|でき)(?:ました|ません)|読み込めません|お待ちください|お探しの|しばらくしてから|設定をご確認",
     re.I,
@@ -90,7 +92,7 @@ SLOTS = (
     ("supply", re.compile(r"\[\s*([A-Za-z][\w ]{0,30}?)\s+(?:to be (?:supplied|added|filled in|inserted|completed)|goes here|here|tbd)\s*\]", re.I)),
     ("marked", re.compile(r"(?<![A-Za-z])X{3,}[-_ ]([A-Za-z]\w{0,30}?)[-_ ]X{3,}(?![A-Za-z])")),
     ("fill", re.compile(r"【\s*([^】]{1,30}?)(?:を|の)?(?:記入|入力|挿入)】")),
-    ("circles", re.compile(r"[○〇●]{2,}（([^（）]{1,30}?)名?）[○〇●]{2,}")),
+    ("circles", re.compile(r"[○〇●◯]{2,}[（(]([^（）()]{1,30}?)名?[）)][○〇●◯]{2,}")),
     ("escaped", re.compile(r"&lt;\s*([A-Za-z]\w{0,30})\s*&gt;")),
     ("brace", re.compile(r"(?<![{$#%\w])\{([A-Za-z]\w{1,30})\}(?!\})")),
 )
