@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kasane.runtime import Scratch
+from kasane.runtime import Scratch, shuffle_width
 
 WILD = "<*>"
 DEPTH = 3
@@ -195,12 +195,14 @@ def _mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(rows, columns=["kind", "text", "name", "size", "head", "n"])
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Templates of whole leaves, the commonest first, to merged and judged ones."""
     tree = Tree()
-    for text, n in sorted(zip(pdf["text"], pdf["n"]), key=lambda r: (-r[1], r[0])):
-        tree.add(text.split(_JOIN), n)
+    for pdf in batches:
+        for text, n in zip(pdf["text"], pdf["n"]):
+            tree.add(text.split(_JOIN), n)
     rows = [(_JOIN.join(t), n, is_residue(t)) for ts in tree.leaves.values() for t, n in ts]
-    return pd.DataFrame(rows, columns=["template", "n", "residue"])
+    yield pd.DataFrame(rows, columns=["template", "n", "residue"])
 
 
 class Residue:
@@ -213,7 +215,9 @@ class Residue:
             self.documents.select("text").mapInPandas(_mine, "kind string, text string, name string, size int, head string, n long")
         )
         local = mined.where("kind = 'template'").groupBy("text", "size", "head").agg(F.sum("n").alias("n"))
-        self.templates = self.scratch.save(local.groupBy("size", "head").applyInPandas(_merge, "template string, n long, residue boolean"))
+        width = max(shuffle_width(documents.sparkSession), documents.sparkSession.sparkContext.defaultParallelism)
+        leaves = local.repartition(width, "size", "head").sortWithinPartitions(F.desc("n"), "text")  # whole leaves per task
+        self.templates = self.scratch.save(leaves.mapInPandas(_merge, "template string, n long, residue boolean"))
         used = mined.where("kind = 'slot'").groupBy("name").agg(F.countDistinct("text").alias("kinds"))
         self.names = {r.name for r in used.where("kinds >= 3").collect()}
         self.bad = [r.template for r in self.templates.where("residue").select("template").collect()]
