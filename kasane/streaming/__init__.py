@@ -1,0 +1 @@
+"""Nothing here: releases arrive as whole packages and every build is a batch."""

@@ -141,3 +141,41 @@ def test_cli(spark, store_path, capsys):
     assert json.loads(capsys.readouterr().out)["match_status"] == "exact"
     assert cli.main(["lookup", store_path, "fi", "nope"]) == 1
     assert cli.main(["validate", store_path]) == 0
+
+
+def test_export(spark, store, tmp_path):
+    from kasane.sources import export
+
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    manifest = export.export(store, a)
+    assert manifest["canonical_concepts"] == manifest["exported_records"] > 0
+    assert export.export(store, b)["tree_sha256"] == manifest["tree_sha256"]
+    assert export.audit(spark, a, b)["equal"] and export.validate(spark, a)["valid"]
+    record = export.find_object(spark, a, "ipc", "8U", "B01D 10/00")
+    assert [r["version"] for r in record["revisions"]] == ["2006.01", "2016.01"]
+    assert export.find_object(spark, a, "fi", "", "B99Z1/00") is None
+    page = next(p for p in (tmp_path / "a" / "site").rglob("*.html"))
+    page.write_text(page.read_text() + "<script>")
+    (tmp_path / "a" / "site" / "more.exe").write_text("x")
+    assert {"digest", "size", "active", "extra", "suffix"} <= set(export.validate(spark, a)["issues"])
+    with pytest.raises(FileExistsError):
+        export.export(store, b)
+    with pytest.raises(export.ExportError):
+        export.export(store, str(tmp_path / "c"), "https://x/y")
+    with pytest.raises(export.ExportError):
+        export.write_objects(spark.createDataFrame([("../x", "y")], "key string, content string"), a)
+
+
+def test_policy(tmp_path):
+    import yaml
+
+    from kasane.sources import export
+
+    good = {"release_id": "R", "sources": [{"flags": {k: True for k in export.MUST} | {k: False for k in export.MUST_NOT}, "notices": {"ja": "x", "en": "y"}}]}
+    path = tmp_path / "p.yaml"
+    path.write_text(yaml.safe_dump(good))
+    assert export.load_policy(str(path), "R")["release_id"] == "R"
+    good["sources"][0]["flags"]["embargoed"] = True
+    path.write_text(yaml.safe_dump(good))
+    with pytest.raises(export.ExportError):
+        export.load_policy(str(path), "R")
