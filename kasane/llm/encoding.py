@@ -19,6 +19,7 @@ bounded by the code tables, not by the data) reach the driver.
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
 import unicodedata
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kasane.runtime import Scratch
+from kasane.runtime import Scratch, shuffle_width
 
 #: (right, wrong): bytes of the first read as the second (fixed values).
 READINGS = tuple(
@@ -38,6 +39,7 @@ READINGS = tuple(
     for wrong in ("latin-1", "cp1252", "mac_roman", "cp932", "gb18030", "euc_jp", "euc_kr", "big5", "koi8-r", "cp1251", "cp437", "cp1250", "utf-8")
     if right != wrong
 )
+_BY_RIGHT = {r: tuple(w for x, w in READINGS if x == r) for r in ("utf-8", "cp932", "euc_jp")}
 _SINGLE = {"latin-1", "cp1252", "mac_roman", "koi8-r", "cp1251", "cp437", "cp1250"}
 #: Valid multi-byte stretches of each encoding, as Latin-1 text (fixed values).
 _VALID = {
@@ -53,6 +55,18 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: chr(int(m[1], 16)), text) if "\\u" in text else text
 
 
+def _nul(error: UnicodeError) -> tuple[bytes, int]:
+    return b"\x00" * (error.end - error.start), error.end
+
+
+codecs.register_error("kasane.nul", _nul)
+
+
+class _Table(dict):
+    def __missing__(self, key: int) -> str:
+        return "\x00"
+
+
 class Reader:
     """Characters to bytes and back for one codec, single bytes without a character kept as themselves."""
 
@@ -69,6 +83,7 @@ class Reader:
                     ch = chr(b)
                 self.chars.append(ch)
                 self.table[ch] = bytes([b])
+            self.flat = _Table({ord(ch): chr(b[0]) for ch, b in self.table.items()})
 
     def read(self, data: bytes) -> str:
         """What a lossy decoder makes of the bytes."""
@@ -87,8 +102,14 @@ class Reader:
             self.table[ch] = out
             return out
 
+    def bytes_of(self, text: str) -> str:
+        """Bytes as Latin-1 text; characters the codec lacks become NUL."""
+        if self.chars is not None:
+            return text.translate(self.flat)
+        return text.encode(self.codec, "kasane.nul").decode("latin-1")
+
     def unread(self, text: str) -> tuple[str, list[int]]:
-        """(bytes as Latin-1 text, start of each character); characters the codec lacks become NUL."""
+        """The same with the start of each character."""
         parts, at, n = [], [], 0
         for ch in text:
             b = self.one(ch) or b"\x00"
@@ -124,15 +145,22 @@ def explain(clean: str, garbled: str) -> tuple[str, str] | None:
     for a, b in middles(clean, garbled):
         if not a or not b or a.isascii():
             continue
-        for right, wrong in READINGS:
+        for right, wrongs in _BY_RIGHT.items():
             try:
                 data = a.encode(right)
             except UnicodeEncodeError:
                 continue
-            made = reader(wrong).read(data)
-            bare = made.replace("�", "")
-            if made == b or (len(bare) > 1 and 2 * len(bare) >= len(b) and bare == b.replace("�", "")):
-                return right, wrong
+            size = len(data)
+            for wrong in wrongs:
+                if wrong in _SINGLE:
+                    if len(b) != size:
+                        continue
+                elif not size // 4 <= len(b) <= size:
+                    continue
+                made = reader(wrong).read(data)
+                bare = made.replace("�", "")
+                if made == b or (len(bare) > 1 and 2 * len(bare) >= len(b) and bare == b.replace("�", "")):
+                    return right, wrong
     return None
 
 
@@ -154,6 +182,9 @@ class Model:
 
     def undo(self, text: str, right: str, wrong: str, loose: bool = False) -> tuple[str, int]:
         """(text with the accepted stretches turned back, characters turned back)."""
+        flat = reader(wrong).bytes_of(text)
+        if not any(m.end() - m.start() > 1 for m in _VALID[right].finditer(flat)):
+            return text, 0
         flat, at = reader(wrong).unread(text)
         out, done, turned = [], 0, 0
         starts = None
@@ -294,6 +325,7 @@ class Garbled:
     def __init__(self, records: DataFrame, support: int = 2):
         self.spark = records.sparkSession
         self.scratch = Scratch(self.spark, "garbled")
+        self.width = max(shuffle_width(self.spark), self.spark.sparkContext.defaultParallelism)
         self.leaves = self.scratch.save(text_leaves(records))
         self._learn(support)
         self.verdicts = self.scratch.save(self._apply())
@@ -309,6 +341,7 @@ class Garbled:
             .where("garbled <> clean")
             .select("clean", "garbled")
             .distinct()
+            .repartition(self.width, "garbled")  # few bytes, much work: not to be coalesced by size
         )
         self.learnt = self.scratch.save(pairs.mapInPandas(_learn, "kind string, text string, restored string, right string, wrong string"))
         readings = self.learnt.where("kind = 'twin'").groupBy("right", "wrong").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -327,7 +360,8 @@ class Garbled:
                 rows = [(t, *v) for t in pdf["text"] if (v := model.judge(t)) is not None]
                 yield pd.DataFrame(rows, columns=["text", "restored", "reading"])
 
-        found = self.leaves.select("text").distinct().mapInPandas(judge, "text string, restored string, reading string")
+        texts = self.leaves.select("text").distinct().repartition(self.width)  # few bytes, much work
+        found = texts.mapInPandas(judge, "text string, restored string, reading string")
         twins = self.learnt.where("kind = 'twin'").select(
             "text", "restored", F.concat_ws(" read as ", "right", "wrong").alias("reading"), F.lit(0).alias("rank")
         )
