@@ -172,8 +172,10 @@ def _marks(text: str) -> set[str]:
 class Model:
     """Learned readings, damage marks and the character counts of clean texts."""
 
-    def __init__(self, readings: list[tuple[str, str]], marks: set[str], chars: dict[str, int]):
+    def __init__(self, readings: list[tuple[str, str]], marks: set[str], chars: dict[str, int], seen: set[str] = frozenset()):
         self.readings, self.marks, self.chars = readings, marks, chars
+        # characters of clean texts that no explained wrong reading ever made: text of these alone is sound
+        self.sound = {c for c, n in chars.items() if n >= 5 and c not in seen}
         self.total = max(1, sum(chars.values()))
 
     def score(self, text: str) -> float:
@@ -236,6 +238,8 @@ class Model:
         plain = unescape(text)
         if plain.isascii():
             return None
+        if all(c in self.sound for c in plain if c > "\x7f"):
+            return None
         best, name = None, ""
         for right, wrong in self.readings:
             back, n = self.undo(plain, right, wrong)
@@ -298,7 +302,7 @@ def text_leaves(records: DataFrame) -> DataFrame:
 def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs (clean, garbled) to readings, marks and restored twins."""
     for pdf in batches:
-        out, marks = [], Counter()
+        out, marks, seen = [], Counter(), set()
         for clean, garbled in zip(pdf["clean"], pdf["garbled"]):
             c, g = unescape(clean), unescape(garbled)
             if c == g:
@@ -307,7 +311,9 @@ def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if found:
                 out.append(("twin", garbled, c, found[0], found[1]))
                 marks.update(_marks(g) - _marks(c))
+                seen.update(ch for ch in set(g) - set(c) if ord(ch) > 127)
         out += [("mark", ch, None, None, None) for ch in marks]
+        out += [("seen", ch, None, None, None) for ch in seen]
         yield pd.DataFrame(out, columns=["kind", "text", "restored", "right", "wrong"])
 
 
@@ -347,10 +353,11 @@ class Garbled:
         readings = self.learnt.where("kind = 'twin'").groupBy("right", "wrong").agg(F.count(F.lit(1)).alias("n")).collect()
         self.readings = sorted(((r.n, r.right, r.wrong) for r in readings if r.n >= support), reverse=True)
         marks = {r.text for r in self.learnt.where("kind = 'mark'").select("text").distinct().collect()}
+        seen = {r.text for r in self.learnt.where("kind = 'seen'").select("text").distinct().collect()}
         sound = stands.where("of >= 3 and top * 2 > of").select(F.col("clean").alias("text")).distinct()
         counted = sound.mapInPandas(_count_chars, "ch string, n long").groupBy("ch").agg(F.sum("n").alias("n")).collect()
         chars = {chr(int(r.ch, 16)): r.n for r in counted}
-        self.model = Model([(a, b) for _, a, b in self.readings], marks, {c: n for c, n in chars.items() if c not in marks})
+        self.model = Model([(a, b) for _, a, b in self.readings], marks, {c: n for c, n in chars.items() if c not in marks}, seen)
 
     def _apply(self) -> DataFrame:
         model = self.model
