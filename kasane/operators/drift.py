@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kasane.functions.text import norm_code, strip_white
-from kasane.runtime import Scratch
+from kasane.runtime import Scratch, shuffle_width
 
 #: Classification codes by which rows of two files are paired (fixed value).
 CODE = r"^(?:[A-H][0-9]{2}[A-Z][0-9]+/[0-9]+|[0-9][A-Z][0-9]{3}(?:[A-Z]{2}[0-9]+)?)$"
@@ -110,7 +110,7 @@ def agreements(long: DataFrame, chain: DataFrame, profile: DataFrame) -> DataFra
     )
     both = gone.unionByName(new)
     counted = (
-        long.select("file_id", "field", "code", F.xxhash64("value").alias("v"))
+        long.select("file_id", "field", "code", "v")
         .join(both, ["file_id", "field"])
         .groupBy("series", "at", "old", "field", "code", "v")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -225,7 +225,8 @@ class Drift:
         self.scratch = Scratch(records.sparkSession, "drift")
         self.records = records
         chain = self.scratch.save(series_files(files, records))
-        long = fields(records)
+        # parsed once: a value travels on as its hash
+        long = self.scratch.save(fields(records).select("file_id", "code", "field", "type", "shape", F.xxhash64("value").alias("v")))
         profile = self.scratch.save(profiles(long))
         share = agreements(long, chain, profile)
         rows = profile.join(chain, "file_id").select(
@@ -237,7 +238,10 @@ class Drift:
                 F.col("old").alias("field"), F.col("new").alias("other"), F.lit("").alias("type"), F.lit("").alias("shape"), "same", "all",
             )
         )
-        self.events = self.scratch.save(rows.groupBy("series").applyInPandas(_series_events, _EVENT))
+        width = max(shuffle_width(records.sparkSession), records.sparkSession.sparkContext.defaultParallelism)
+        spread = rows.repartition(width, "series")  # few bytes, much work: not to be coalesced by size
+        self.events = self.scratch.save(spread.groupBy("series").applyInPandas(_series_events, _EVENT))
+        self.scratch.drop(long, profile)
 
     def changes(self) -> DataFrame:
         """(file_id, change, old_field, new_field) at the file where a change first shows."""
