@@ -221,8 +221,8 @@ class Model:
         if len(strong) < 0.7 * len(wide):
             return False
         if right == "utf-8" and wrong in _SINGLE:
-            least = 1
-        elif right == "utf-8":
+            return True  # multi-byte sequences of known characters do not arise in text of single letters
+        if right == "utf-8":
             rest = [c for c in text[:i] + text[j:] if ord(c) > 127]
             least = 1 if not rest and not ragged else 3
         else:
@@ -369,9 +369,14 @@ class Garbled:
 
         texts = self.leaves.select("text").distinct().repartition(self.width)  # few bytes, much work
         found = texts.mapInPandas(judge, "text string, restored string, reading string")
-        twins = self.learnt.where("kind = 'twin'").select(
-            "text", "restored", F.concat_ws(" read as ", "right", "wrong").alias("reading"), F.lit(0).alias("rank")
-        )
+
+        def sound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Twins whose clean side is clean: the commonest text of a place may be the garbled one."""
+            for pdf in batches:
+                yield pdf[[model.judge(t) is None for t in pdf["restored"]]]
+
+        pairs = self.learnt.where("kind = 'twin'").select("text", "restored", F.concat_ws(" read as ", "right", "wrong").alias("reading"))
+        twins = pairs.repartition(self.width).mapInPandas(sound, "text string, restored string, reading string").withColumn("rank", F.lit(0))
         return (
             found.withColumn("rank", F.lit(1))
             .unionByName(twins)
