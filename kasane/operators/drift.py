@@ -16,7 +16,7 @@ import difflib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kasane.functions.text import norm_code, strip_white
@@ -218,6 +218,28 @@ def _series_events(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["series", "pos", "file_id", "change", "old_field", "new_field", "root"])
 
 
+def _reading(shape: Column, value: Column) -> Column:
+    """The text of a value, unwrapped where the wrapper can be told from the text.
+
+    Arrays: the element of a one-element array; several words without white
+    space are joined by blanks. Objects: ``value`` where it is the only member,
+    or where the only other one is ``n`` and counts its characters.
+    """
+    words = F.from_json(value, "array<string>")
+    inner = F.get_json_object(value, "$.value")
+    counted = (shape == "OBJECT<n: BIGINT, value: STRING>") & (F.get_json_object(value, "$.n") == F.length(inner).cast("string"))
+    return F.coalesce(
+        F.when(
+            shape.startswith("ARRAY") & (shape != "ARRAY<VOID>"),
+            F.when(F.json_array_length(value) == 1, F.get_json_object(value, "$[0]")).when(
+                (shape == "ARRAY<STRING>") & (F.size(words) > 1) & F.forall(words, lambda w: w.rlike(r"^\S+$")), F.array_join(words, " ")
+            ),
+        ),
+        F.when(shape.startswith("OBJECT") & ((F.json_object_keys(value) == F.array(F.lit("value"))) | counted), inner),
+        value,
+    )
+
+
 class Drift:
     """Field profiles and events of all series, written once."""
 
@@ -250,16 +272,13 @@ class Drift:
     def unified(self) -> DataFrame:
         """(file_id, record_number, row_json): all rows with one name per field and every value as text.
 
-        Renamed fields carry their first name in the series; a value wrapped as a
-        one-element array or as an object's ``value`` is unwrapped, so a retyped
-        field keeps one reading.
+        Renamed fields carry their first name in the series. A wrapped value is
+        unwrapped so that a retyped field keeps one reading, but only where
+        nothing is lost by it (see ``_reading``); other arrays and objects stay
+        whole as JSON text.
         """
         names = self.events.where("change = 'keep'").select("file_id", F.col("old_field").alias("field"), "root")
-        wrapped = F.coalesce(
-            F.when(F.col("type") == "object", F.get_json_object("value", "$.value")),
-            F.when(F.col("type") == "array", F.get_json_object("value", "$[0]")),
-            F.col("value"),
-        )
+        wrapped = _reading(F.col("shape"), F.col("value"))
         one = (
             fields(self.records)
             .join(names, ["file_id", "field"])

@@ -73,6 +73,28 @@ def test_rename_retype_and_null_fields(spark):
     assert unified[1, 8] is None and len(unified) == 21
 
 
+def test_arrays_and_objects_stay_whole(spark):
+    a = [json.dumps({"code": f"A01B{i}/00", "t": "x y z"}) for i in range(1, 4)]
+    kept = [["x", "y", "z"], ["x y", "z"], [1, 2], [], [None], ["x", None], [["x", "y"]], ["x"], {"value": "x"}, {"n": 3, "value": "x y"}, {"n": 4, "value": "x y"}, {"value": "x", "unit": "mm"}, {"value": None}]
+    b = [json.dumps({"code": f"A01B{i}/00", "t": v}) for i, v in enumerate(kept, 1)]
+    got = {(r.file_id, r.record_number): json.loads(r.row_json)["t"] for r in two_files(spark, a, b).unified().collect()}
+    assert [got[2, i] for i in range(len(kept))] == [
+        "x y z", '["x y","z"]', "[1,2]", "[]", "[null]", '["x",null]', '["x","y"]', "x", "x", "x y", '{"n":4,"value":"x y"}', '{"unit":"mm","value":"x"}', '{"value":null}',
+    ]
+
+
+def test_no_element_is_lost(spark, sf_dir, duck):
+    """Every text element of the table is in the unified table, a row's elements in its row."""
+    made = drift.unified_rows(table(spark, sf_dir, "source_record"), table(spark, sf_dir, "source_file")).collect()
+    unified = {(r.file_id, r.record_number): set(json.loads(r.row_json).values()) for r in made if r.row_json}
+    for f, n, payload in duck.execute("SELECT file_id, record_number, payload_json FROM source_record").fetchall():
+        for v in json.loads(payload).values():
+            if isinstance(v, list):
+                assert " ".join(v) in unified[f, n]
+            elif isinstance(v, dict):
+                assert v["value"] in unified[f, n] if v["n"] == len(v["value"]) else v in [json.loads(x) for x in unified[f, n] if x[:1] == "{"]
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], RECORD), spark.createDataFrame([], SOURCE)
     assert drift.field_changes(*empty).count() == 0
