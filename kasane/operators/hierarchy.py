@@ -269,6 +269,21 @@ class Forest:
         return inner.where("p is not null").select("v", "path").unionByName(leaf)
 
 
+def _whole(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(v, root, depth, path, tin, tout) of every id, those without links included; no path and interval on or below circles."""
+    made = Forest(links, intervals=True)
+    spans = made.spans().select("v", "tin", "tout")
+    lone = F.col("depth").isNull()
+    return (
+        ids.join(made.nodes(), "v", "left").join(made.paths(), "v", "left").join(spans, "v", "left")
+        .select(
+            "v", F.coalesce("root", "v").alias("root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+            F.when(lone, F.array("v")).otherwise(F.col("path")).alias("path"),
+            *(F.when(lone, F.coalesce(c, F.lit(1).cast("long"))).otherwise(F.col(c)).alias(c) for c in ("tin", "tout")),
+        )
+    )
+
+
 def revision_links(relations: DataFrame, revisions: DataFrame) -> DataFrame:
     return clean_links(relations, revisions, "revision_id", "from_revision_id", "to_revision_id", "kind")
 
@@ -294,31 +309,61 @@ def revision_descendants(relations: DataFrame, revisions: DataFrame) -> DataFram
     )
 
 
-def record_links(records: DataFrame, release_id: str | None = None) -> DataFrame:
-    """(v, p) over the records of one release (the last one unless named), keys as scheme|edition|code.
-
-    Of several rows of a record the latest loaded counts. Parents come from the
-    ``parent`` members of ``relations``; those that are no record of the
-    release do not count, of several the smallest key does.
-    """
-    key = lambda s, e, c: F.concat_ws("|", F.coalesce(s, F.lit("")), F.coalesce(e, F.lit("")), F.coalesce(norm_code(c), F.lit("")))
-    if release_id is None:
-        release_id = records.agg(F.max("release_id").alias("r")).first().r
+def _record_parents(records: DataFrame, prefix: Column | None = None) -> DataFrame:
+    """(v, up): one row per record, the latest loaded, with the keys of its parents in order."""
+    head = [] if prefix is None else [prefix]
+    key = lambda s, e, c: F.concat_ws("|", *head, F.coalesce(s, F.lit("")), F.coalesce(e, F.lit("")), F.coalesce(norm_code(c), F.lit("")))
     at = F.coalesce(F.col("loaded_at").cast("timestamp"), F.lit("0001-01-01 00:00:00").cast("timestamp"))
     up = F.transform(
         F.filter("relations", lambda r: F.lower(strip_white(r["type"])) == "parent"), lambda r: key(r["scheme"], r["edition"], r["code"])
     )
-    one = (
-        records.where(F.col("release_id").eqNullSafe(F.lit(release_id)))
-        .select(key(F.col("scheme"), F.col("edition"), F.col("normalized_code")).alias("v"), at.alias("at"), F.sort_array(F.coalesce(up, F.array().cast("array<string>"))).alias("up"))
+    return (
+        records.select(key(F.col("scheme"), F.col("edition"), F.col("normalized_code")).alias("v"), at.alias("at"), F.sort_array(F.coalesce(up, F.array().cast("array<string>"))).alias("up"))
         .groupBy("v")
         .agg(F.max_by("up", F.struct("at", "up")).alias("up"))
     )
+
+
+def _parent_links(one: DataFrame) -> DataFrame:
     pairs = one.select("v", F.explode("up").alias("p"))
     return pairs.join(one.select(F.col("v").alias("p")), "p", "left_semi").groupBy("v").agg(F.min("p").alias("p"))
 
 
+def record_links(records: DataFrame, release_id: str | None = None) -> DataFrame:
+    """(v, p) over the records of one release (the last one unless named), keys as scheme|edition|code.
+
+    Of several rows of a record the latest loaded counts. Parents come from the
+    ``parent`` members of ``relations``; those that are no record of the
+    release do not count, of several the smallest key does.
+    """
+    if release_id is None:
+        release_id = records.agg(F.max("release_id").alias("r")).first().r
+    return _parent_links(_record_parents(records.where(F.col("release_id").eqNullSafe(F.lit(release_id)))))
+
+
 def record_depths(records: DataFrame, release_id: str | None = None) -> DataFrame:
     """(record, root_record, depth) of every record with a parent."""
     out = Forest(record_links(records, release_id)).nodes()
     return out.select(F.col("v").alias("record"), F.col("root").alias("root_record"), "depth")
+
+
+def record_hierarchy(records: DataFrame) -> DataFrame:
+    """(release_id, record, root_record, depth, path, tin, tout): every record of every release, roots included.
+
+    Each release is a forest of its own; links as in ``record_links``. ``path``
+    is the array of records from the root down. Depth -1 is on a circle, -2
+    below one, both with the circle's smallest record as root and without path
+    and interval. The descendants of a record are the records of its release
+    and root with tin in (tin, tout].
+    """
+    spark = records.sparkSession
+    one = Scratch(spark, "releases").save(_record_parents(records, F.coalesce("release_id", F.lit(""))))
+    return _whole(one.select("v"), _parent_links(one)).select(
+        F.substring_index("v", "|", 1).alias("release_id"), _bare("v").alias("record"), _bare("root").alias("root_record"),
+        "depth", F.transform("path", _bare).alias("path"), "tin", "tout",
+    )
+
+
+def _bare(key: Column | str) -> Column:
+    """scheme|edition|code of release|scheme|edition|code; codes may hold the separator, releases may not."""
+    return F.regexp_replace(key, r"^[^|]*\|", "")

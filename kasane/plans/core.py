@@ -34,6 +34,16 @@ def _p2_records(spark, d):
     return hierarchy.record_depths(table(spark, d, "storage_record"))
 
 
+def _p2_releases(spark, d):
+    return hierarchy.record_hierarchy(table(spark, d, "storage_record")).select(
+        "release_id", "record", "root_record", "depth", "path", (F.col("tout") - F.col("tin")).alias("n_descendants")
+    )
+
+
+def _p2_release_spans(spark, d):
+    return hierarchy.record_hierarchy(table(spark, d, "storage_record"))
+
+
 def _p4_found(spark, d):
     return history.record_history(table(spark, d, "storage_record"), min_periods=2).select(
         "scheme", "edition", "normalized_code", "version", "first_release_id", "last_release_id"
@@ -73,6 +83,8 @@ QUERIES = {
     "p2_paths": _p2_paths,
     "p2_descendants": _p2_descendants,
     "p2_records": _p2_records,
+    "p2_releases": _p2_releases,
+    "p2_release_spans": _p2_release_spans,
     "p4_found": _p4_found,
     "p4_periods": _p4_periods,
 }
@@ -146,7 +158,31 @@ link AS (
   WHERE p IN (SELECT v FROM node) GROUP BY v),
 """ + _LINKS[_LINKS.index("walk AS ("):]
 
+_RELEASE_LINKS = _STATE.replace("WITH clean", "WITH RECURSIVE clean").replace("loaded_at\n", "loaded_at, relations AS rel\n") + """,
+node AS (SELECT release_id, concat_ws('|', scheme, edition, normalized_code) AS v, rel FROM one),
+link AS (
+  SELECT release_id, v, min(p) AS p FROM (
+    SELECT release_id, v, concat_ws('|', coalesce(r.scheme, ''), coalesce(r.edition, ''), upper(regexp_replace(r.code, '\\s', '', 'g'))) AS p
+    FROM (SELECT release_id, v, unnest(rel) AS r FROM node) WHERE lower(trim(r.type)) = 'parent')
+  WHERE (release_id, p) IN (SELECT release_id, v FROM node) GROUP BY release_id, v),
+walk AS (
+  SELECT release_id, v, v AS cur, [v] AS path, false AS looped FROM node
+  UNION ALL
+  SELECT w.release_id, w.v, l.p, list_append(w.path, l.p), list_contains(w.path, l.p)
+  FROM walk w JOIN link l ON l.release_id = w.release_id AND l.v = w.cur WHERE NOT w.looped),
+ended AS (
+  SELECT release_id, v, cur, path, looped FROM walk w
+  WHERE looped OR NOT EXISTS (SELECT 1 FROM link l WHERE l.release_id = w.release_id AND l.v = w.cur)),
+below AS (SELECT release_id, u, count(*) - 1 AS n FROM (SELECT release_id, unnest(path) AS u FROM ended WHERE NOT looped) GROUP BY release_id, u)
+"""
+
 SQL = {
+    "p2_releases": _RELEASE_LINKS
+    + """SELECT e.release_id, e.v AS record,
+       CASE WHEN looped THEN list_min(list_slice(path, list_position(path, cur), len(path))) ELSE cur END AS root_record,
+       CAST(CASE WHEN NOT looped THEN len(path) - 1 WHEN cur = e.v THEN -1 ELSE -2 END AS BIGINT) AS depth,
+       CASE WHEN NOT looped THEN list_reverse(path) END AS path, n AS n_descendants
+FROM ended e LEFT JOIN below b ON b.release_id = e.release_id AND b.u = e.v""",
     "p1_found": _CHANGES + "SELECT * FROM found",
     "p1_summary": _CHANGES
     + """SELECT r.release_id,

@@ -1,3 +1,4 @@
+import datetime
 import random
 
 from kasane.operators import hierarchy
@@ -76,3 +77,26 @@ def test_shapes(spark):
     assert {tuple(r) for r in hierarchy.revision_depths(own, rev).collect()} == {(7, 7, -1), (8, 7, -2), (9, 1, 1)}
     none = spark.createDataFrame([], LINK)
     assert hierarchy.revision_depths(none, rev).count() == 0 and hierarchy.revision_descendants(none, rev).count() == 0
+
+
+RECORD = "release_id string, scheme string, edition string, normalized_code string, relations array<struct<type:string,scheme:string,code:string,edition:string>>, loaded_at timestamp"
+
+
+def test_records_of_all_releases(spark):
+    """A tree that is gone in the last release, a circle only in the first, a superseded parent, codes with separators."""
+    day = datetime.datetime(2024, 1, 1)
+    row = lambda release, code, *up, at=0: (release, "ipc", None, code, [(" Parent", "ipc", u, "") for u in up] + [("see", "ipc", "B", "")], day + datetime.timedelta(at))
+    rows = [
+        row("R1", "A"), row("R1", "b/1", "a"), row("R1", "C|x", "B/1"), row("R1", "D", "A", "zz"), row("R1", "E", "F"), row("R1", "F", "E"), row("R1", "G", "F"),
+        row("R2", "A"), row("R2", "E", "A"), row("R2", "F", "E", at=1), row("R2", "F", "A"), row("R2", "B", "D"),
+    ]
+    got = {(r.release_id, r.record[5:]): r for r in hierarchy.record_hierarchy(spark.createDataFrame(rows, RECORD)).collect()}
+    assert {k: (r.root_record[5:], r.depth, r.path and [p[5:] for p in r.path]) for k, r in got.items()} == {
+        ("R1", "A"): ("A", 0, ["A"]), ("R1", "B/1"): ("A", 1, ["A", "B/1"]), ("R1", "C|X"): ("A", 2, ["A", "B/1", "C|X"]), ("R1", "D"): ("A", 1, ["A", "D"]),
+        ("R1", "E"): ("E", -1, None), ("R1", "F"): ("E", -1, None), ("R1", "G"): ("E", -2, None),
+        ("R2", "A"): ("A", 0, ["A"]), ("R2", "E"): ("A", 1, ["A", "E"]), ("R2", "F"): ("A", 2, ["A", "E", "F"]), ("R2", "B"): ("B", 0, ["B"]),
+    }
+    for (release, code), r in got.items():
+        inside = {c for (x, c), o in got.items() if x == release and r.tin and o.tin and o.root_record == r.root_record and r.tin < o.tin <= r.tout}
+        assert inside == {c for (x, c), o in got.items() if x == release and c != code and o.path and r.record in o.path}
+        assert (r.tin is None) == (r.depth < 0)
