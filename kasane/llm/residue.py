@@ -2,9 +2,11 @@
 
 Sentences become masked token lists. Each task mines message templates with a
 prefix tree of fixed depth (token count, first tokens, then the likest
-template); the templates of all tasks are merged per leaf, counted over the
-whole corpus and judged once. Verdicts of residue templates are handed back to
-the tree, and every sentence that falls on one of them marks its document.
+template of the same verdict); the templates of all tasks are merged per leaf
+and counted over the whole corpus. Templates merge only where the verdict stays
+what it was for each sentence. Residue templates are handed back to the tree,
+and every sentence that falls on one of them and is itself residue marks its
+document, whatever else the corpus holds.
 Unfilled slots inside ordinary sentences are found separately; which slot names
 count is learned from the names that occur in several notations.
 
@@ -18,6 +20,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -120,7 +123,7 @@ class Tree:
     """Message templates in a prefix tree of fixed depth."""
 
     def __init__(self) -> None:
-        self.leaves: dict[tuple, list[list]] = defaultdict(list)
+        self.leaves: dict[tuple, list[list]] = defaultdict(list)  # entries: template, count, verdict
 
     @staticmethod
     def leaf(tokens: list[str]) -> tuple:
@@ -128,22 +131,25 @@ class Tree:
         return (len(tokens), *head)
 
     def add(self, tokens: list[str], n: int = 1) -> None:
-        leaf = self.leaves[self.leaf(tokens)]
+        """Merges only what has one verdict, before and after; the rest gets an entry of its own."""
+        leaf, verdict = self.leaves[self.leaf(tokens)], judged(tuple(tokens))
         best, at = 0.0, None
         for entry in leaf:
-            same = sum(a == b for a, b in zip(entry[0], tokens)) / len(tokens)
-            if same > best:
-                best, at = same, entry
+            if entry[2] == verdict:
+                same = sum(a == b for a, b in zip(entry[0], tokens)) / len(tokens)
+                if same > best:
+                    best, at = same, entry
         if at is not None and best >= LIKE:
-            at[1] += n
-            if best < 1:
-                at[0] = [a if a == b else WILD for a, b in zip(at[0], tokens)]
-        else:
-            leaf.append([list(tokens), n])
+            merged = at[0] if best == 1 else [a if a == b else WILD for a, b in zip(at[0], tokens)]
+            if merged == at[0] or judged(tuple(merged)) == verdict:
+                at[0] = merged
+                at[1] += n
+                return
+        leaf.append([list(tokens), n, verdict])
 
     def find(self, tokens: list[str]) -> bool:
         """Does a template stand for these tokens?"""
-        for entry, _ in self.leaves.get(self.leaf(tokens), ()):
+        for entry, *_ in self.leaves.get(self.leaf(tokens), ()):
             if all(a == WILD or a == b for a, b in zip(entry, tokens)):
                 return True
         return False
@@ -164,6 +170,11 @@ def is_residue(template: list[str]) -> bool:
     return bool(MESSAGES.search(shown)) and not DESCRIBES.search(text)
 
 
+@lru_cache(maxsize=1 << 16)
+def judged(template: tuple[str, ...]) -> bool:
+    return is_residue(list(template))
+
+
 def is_filler(sentence: str) -> bool:
     if FILLER.search(sentence) or _AGAIN.search(sentence):
         return not DESCRIBES.search(_CODE.sub("\x00", sentence.lower()))
@@ -190,7 +201,7 @@ def _mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 tokens = mask(s)
                 if tokens:
                     tree.add(tokens)
-    rows = [("template", _JOIN.join(t), "", len(t), " ".join(leaf[1:]), n) for leaf, ts in tree.leaves.items() for t, n in ts]
+    rows = [("template", _JOIN.join(t), "", len(t), " ".join(leaf[1:]), n) for leaf, ts in tree.leaves.items() for t, n, _ in ts]
     rows += [("slot", kind, name, 0, "", n) for (kind, name), n in names.items()]
     yield pd.DataFrame(rows, columns=["kind", "text", "name", "size", "head", "n"])
 
@@ -201,7 +212,7 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for text, n in zip(pdf["text"], pdf["n"]):
             tree.add(text.split(_JOIN), n)
-    rows = [(_JOIN.join(t), n, is_residue(t)) for ts in tree.leaves.values() for t, n in ts]
+    rows = [(_JOIN.join(t), n, verdict) for ts in tree.leaves.values() for t, n, verdict in ts]
     yield pd.DataFrame(rows, columns=["template", "n", "residue"])
 
 
@@ -229,7 +240,7 @@ class Residue:
         def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             tree = Tree()
             for t in bad:
-                tree.leaves[Tree.leaf(t.split(_JOIN))].append([t.split(_JOIN), 0])
+                tree.leaves[Tree.leaf(t.split(_JOIN))].append([t.split(_JOIN), 0, True])
             for pdf in batches:
                 rows = []
                 for doc, text in zip(pdf["doc_id"], pdf["text"]):
@@ -241,7 +252,7 @@ class Residue:
                         if is_filler(s):
                             why.add("filler")
                         tokens = mask(s)
-                        if tokens and tree.find(tokens):
+                        if tokens and tree.find(tokens) and judged(tuple(tokens)):
                             why.add("message")
                     rows += [(doc, w) for w in sorted(why)]
                 yield pd.DataFrame(rows, columns=["doc_id", "reason"])

@@ -50,3 +50,22 @@ def test_tree_merges_variable_words(times):
 def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, "word " * 200_000), (2, "濾過 " * 100_000 + "{{title}}")], "doc_id long, text string")
     assert 2 in {r.doc_id for r in residue.residue_documents(docs).collect()}
+
+
+def test_verdict_does_not_depend_on_other_documents(spark):
+    bad = ["Your session has expired.", "Your session has ended.", "This page cannot be displayed.", "This page cannot be shown."]
+    good = ["Your session has started.", "This page cannot be folded.", "Your session has 3 parts."]
+    rows = [(i, t) for i, t in enumerate(bad + good)]
+    for part in (rows, rows[::-1], *([r] for r in rows)):
+        docs = spark.createDataFrame(part, "doc_id long, text string").coalesce(1)
+        assert {r.doc_id for r in residue.residue_documents(docs).collect()} == {i for i, t in part if t in bad}
+
+
+def test_merging_tasks_keeps_verdicts():
+    for a in ("expired", "ended", "started"):
+        for b in ("expired", "ended", "started"):
+            tree = residue.Tree()
+            for word in (a, b, a):
+                tree.add(residue.mask(f"Your session has {word}."))
+            assert all(residue.is_residue(t) == verdict for ts in tree.leaves.values() for t, _, verdict in ts)
+            assert sum(n for ts in tree.leaves.values() for _, n, _ in ts) == 3
