@@ -69,7 +69,7 @@ def _p6_found(spark, d):
 
 def _p6_loaded(spark, d):
     good, _ = badrows.split_rows(table(spark, d, "raw_record"), table(spark, d, "source_file"))
-    return good.select("file_id", "line_number", "data_group", F.size("cells").cast("long").alias("n_cells"))
+    return good.select("file_id", "line_number", "data_group", "cells")
 
 
 QUERIES = {

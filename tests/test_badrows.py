@@ -2,6 +2,7 @@ import datetime
 import re
 
 from kasane.operators import badrows
+from kasane.plans import core
 from kasane.runtime import table
 
 COUNTS = {"fi/fi": 5, "fi/fi_text": 7, "fi/fi_hb": 5, "ipc/ipc8u_text": 11, "concordance": 4, "fterm/fterm": -5, "fi/fi_kaisei_link": -2}
@@ -116,3 +117,15 @@ def test_repeated_rows_are_kept(spark):
     files = spark.createDataFrame([(1, "FI/FI", " Python-CSV ")], "file_id long, data_group string, parser string")
     _, bad = badrows.split_rows(raw, files)
     assert bad.count() == 2
+
+
+def test_loaded_query_returns_the_cells(spark, sf_dir, duck):
+    want = {
+        (f, n): split((line or "").removeprefix("﻿").removesuffix("\r"))
+        for f, n, g, line in duck.execute(
+            "SELECT file_id, line_number, data_group, raw_line FROM raw_record JOIN source_file USING (file_id) WHERE parser = 'python-csv'"
+        ).fetchall()
+        if reason(g.lower().strip(), line) is None
+    }
+    got = {(r.file_id, r.line_number): r.cells for r in core.QUERIES["p6_loaded"](spark, sf_dir).collect()}
+    assert got == want
