@@ -78,13 +78,15 @@ def island_ids(rows: DataFrame, part: Sequence[str], order: Sequence[str], value
     return rows.withColumn("__f", fresh).withColumn(name, F.sum("__f").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__f")
 
 
-def stack_parent(rows: DataFrame, part: Sequence[str], order: Sequence[str], level: str, ident: str, levels: Sequence[int]) -> DataFrame:
+def stack_parent(rows: DataFrame, part: Sequence[str], order: Sequence[str], level: str, ident: str, levels: Sequence[int] | None = None) -> DataFrame:
     """Adds ``parent``: the nearest earlier row of the part with a smaller level.
 
     Rows with a null level get none and are nobody's parent. ``levels`` are the
-    level values that occur (a small fixed domain); ``ident`` must be a number
-    or text. One window, no self join.
+    level values that occur (a small domain; read from the rows unless given);
+    ``ident`` must be a number or text. One window, no self join.
     """
+    if levels is None:
+        levels = [r[0] for r in rows.select(level).where(F.col(level).isNotNull()).distinct().collect()]
     w = Window.partitionBy(*part).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     ranked = rows.withColumn("__n", F.row_number().over(w))

@@ -268,16 +268,13 @@ def _hpage(spark, d):
     return edges.with_totals(hop, ["src"], ["dst"], 3)
 
 
-_LEVELS = list(range(0, 41))
-
-
 @query("stack_parent", """
 SELECT r.revision_id, (SELECT p.revision_id FROM concept_revision p WHERE p.source_file_id = r.source_file_id AND p.level < r.level
    AND (p.sequence_number, p.revision_id) < (r.sequence_number, r.revision_id) AND p.sequence_number IS NOT NULL ORDER BY p.sequence_number DESC, p.revision_id DESC LIMIT 1) AS parent
 FROM concept_revision r WHERE r.sequence_number IS NOT NULL""")
 def _stack(spark, d):
     rows = table(spark, d, "concept_revision").where("sequence_number is not null").select("revision_id", "source_file_id", "sequence_number", "level")
-    return temporal.stack_parent(rows, ["source_file_id"], ["sequence_number", "revision_id"], "level", "revision_id", _LEVELS).select("revision_id", "parent")
+    return temporal.stack_parent(rows, ["source_file_id"], ["sequence_number", "revision_id"], "level", "revision_id").select("revision_id", "parent")
 
 
 @query("run_islands", """

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kasane.errors import QueryError
 from kasane.functions import text as tx
 from kasane.operators import edges, publish, quality, search, temporal
+from kasane.plans import reference
 
 AWKWARD = ["a01b 1/00", "Ａ01Ｂ　1/00", "\x1c\x85x y", "", None, "ß/ıé", "a+b*c~d_e.f-g h", "​z"]
 
@@ -97,3 +98,10 @@ def test_quality_and_pages(spark):
     page = edges.with_totals(kids, ["p"], ["c"], 200, 800).collect()
     assert len(page) == 5 and page[0].total == 805 and page[0].next_offset is None and page[0].truncated
     assert edges.page(kids, ["c"], 2, 3).collect()[0].c == 3
+
+
+def test_stack_parent_query_has_no_level_bound(spark, tmp_path):
+    rows = [(i, 1, i, level) for i, level in enumerate([-3, 40, 41, 90, 41, 41, 12])]
+    spark.createDataFrame(rows, "revision_id long, source_file_id long, sequence_number int, level int").write.parquet(f"{tmp_path}/concept_revision.parquet")
+    got = {r.revision_id: r.parent for r in reference.QUERIES["stack_parent"](spark, str(tmp_path)).collect()}
+    assert got == {0: None, 1: 0, 2: 1, 3: 2, 4: 1, 5: 1, 6: 0}
