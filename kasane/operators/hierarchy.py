@@ -309,6 +309,13 @@ def revision_descendants(relations: DataFrame, revisions: DataFrame) -> DataFram
     )
 
 
+def revision_hierarchy(relations: DataFrame, revisions: DataFrame) -> DataFrame:
+    """(revision_id, root_revision_id, depth, path, tin, tout): every revision, roots and those without links included."""
+    ids = revisions.select(F.col("revision_id").alias("v")).where("v is not null").distinct()
+    out = _whole(ids, revision_links(relations, revisions))
+    return out.select(F.col("v").alias("revision_id"), F.col("root").alias("root_revision_id"), "depth", "path", "tin", "tout")
+
+
 def _record_parents(records: DataFrame, prefix: Column | None = None) -> DataFrame:
     """(v, up): one row per record, the latest loaded, with the keys of its parents in order."""
     head = [] if prefix is None else [prefix]

@@ -34,6 +34,10 @@ def _p2_records(spark, d):
     return hierarchy.record_depths(table(spark, d, "storage_record"))
 
 
+def _p2_revisions(spark, d):
+    return hierarchy.revision_hierarchy(table(spark, d, "revision_relation"), table(spark, d, "concept_revision"))
+
+
 def _p2_releases(spark, d):
     return hierarchy.record_hierarchy(table(spark, d, "storage_record")).select(
         "release_id", "record", "root_record", "depth", "path", (F.col("tout") - F.col("tin")).alias("n_descendants")
@@ -83,6 +87,7 @@ QUERIES = {
     "p2_paths": _p2_paths,
     "p2_descendants": _p2_descendants,
     "p2_records": _p2_records,
+    "p2_revisions": _p2_revisions,
     "p2_releases": _p2_releases,
     "p2_release_spans": _p2_release_spans,
     "p4_found": _p4_found,

@@ -100,3 +100,16 @@ def test_records_of_all_releases(spark):
         inside = {c for (x, c), o in got.items() if x == release and r.tin and o.tin and o.root_record == r.root_record and r.tin < o.tin <= r.tout}
         assert inside == {c for (x, c), o in got.items() if x == release and c != code and o.path and r.record in o.path}
         assert (r.tin is None) == (r.depth < 0)
+
+
+def test_every_revision_with_path_and_interval(spark):
+    ids, parent = forest(5, 100)
+    ids.append(99999)  # without links
+    rel, rev = links(spark, ids, parent)
+    want = {v: (v, 0, [v]) for v in ids} | {v: (r, d, p and [int(x) for x in p.split("/")]) for v, (r, d, p) in brute(parent).items()}
+    got = {r.revision_id: r for r in hierarchy.revision_hierarchy(rel, rev).collect()}
+    assert {v: (r.root_revision_id, r.depth, r.path) for v, r in got.items()} == want
+    for v, r in got.items():
+        assert (r.tin is None) == (r.depth < 0)
+        inside = {u for u, o in got.items() if r.tin and o.tin and o.root_revision_id == r.root_revision_id and r.tin < o.tin <= r.tout}
+        assert inside == {u for u, (_, _, p) in want.items() if p and v in p[:-1]}
