@@ -1,15 +1,20 @@
 """Evaluation texts leaking into training text (pigeonhole edit matching).
 
 Texts are compared as the bare stream of their letters and digits (markup,
-width, case, punctuation and spacing gone). A passage whose share ``part`` is
-repeated with at most ``e`` changes has, split into e + 1 pieces, one piece
-intact, so every stretch of that piece length occurs literally. The stretches
-of all passages go into one automaton that reads each document once; hits of
-one passage are chained, the gaps between them are measured with Myers'
-bit-parallel distance, and the longest run within the error rate decides.
-
-Documents are read where they lie: no shuffle, no pairs. The held-out items are
-the stated query set; they are sent to the executors in blocks of bounded size.
+width, case, punctuation and spacing gone). Every run of two fifths of a
+passage has an error budget of e changed places; the passage is split on a grid
+into pieces so short that any such run holds e + 1 whole ones, so one of them
+stands in the document unchanged (pigeonhole). Exact piece hits name the
+candidates (document, passage); a count of shared grams that every true
+repetition must reach (the q-gram lemma) drops the chance ones; what is left
+is aligned, the gaps measured with Myers' bit-parallel distance, and the
+longest run within the error rate decides.
+
+Documents are read once, where they lie: no shuffle, no pairs. Piece and gram
+hits are found for a whole batch of documents at a time with rolling hashes.
+The held-out items are the stated query set; they are broadcast in blocks of
+bounded size. No piece is left out for being common: identical passages form
+one class, and every item of the class is reported.
 """
 
 from __future__ import annotations
@@ -17,17 +22,19 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
-import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _TAG = re.compile(r"<[/!]?[A-Za-z][^<>]*>")
 _BARE = re.compile(r"[\W_]+")
 _SPLIT = re.compile(r"(?<=[.?!。？！:：])\s*")
 _CJK = re.compile(r"[぀-ヿ一-鿿]")
+_WORD = re.compile(r"\S+")
 
 
 def bare(text: str | None) -> str:
@@ -65,78 +72,276 @@ def distance(pattern: str, text: str) -> int:
     return score
 
 
-def passages(items: list[tuple[int, str | None]], shared: int = 6) -> dict[int, str]:
-    """Item id to bare passage: leading and trailing sentences that ``shared`` or more items have are the frame."""
-    parts = {i: [p for p in _SPLIT.split(t or "") if bare(p)] for i, t in items}
-    heads = Counter(bare(p[0]) for p in parts.values() if p)
-    tails = Counter(bare(p[-1]) for p in parts.values() if p)
-    out = {}
-    for i, p in parts.items():
-        while len(p) > 1 and heads[bare(p[0])] >= shared:
-            p = p[1:]
-        while len(p) > 1 and tails[bare(p[-1])] >= shared:
-            p = p[:-1]
-        out[i] = bare("".join(p))
-    return out
+# -- question frames ---------------------------------------------------------
+DEEP = 3  # sentences of a frame looked at on each side
 
 
-class Matcher:
-    """Automaton and verification for one block of items."""
-
-    def __init__(self, items: list[tuple[int, str | None]], part: float, rates: tuple[float, float], pieces: tuple[int, int], common: int, frames: dict[int, str]):
-        self.part, self.common = part, common
-        self.text = {i: frames[i] for i, _ in items if frames[i]}
-        self.wide = {i: len(_CJK.findall(t)) * 3 > len(t) for i, t in self.text.items()}
-        self.rates, self.pieces = rates, pieces
-        # Stretches a repeated part must have left whole: each change breaks those it touches
-        # (a changed word of running Latin text stands in about 55 characters). Half of it is asked for.
-        self.least = {}
-        for i, t in self.text.items():
-            n, run = pieces[self.wide[i]], part * len(t)
-            broken = (n + 1) / 20 if self.wide[i] else (n + 6) / 55
-            self.least[i] = max(1, int(0.5 * (run * (1 - broken) - n)))
-        where: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for i, t in self.text.items():
-            n = self.pieces[self.wide[i]]
-            n = min(n, max(1, len(t)))
-            for at in range(len(t) - n + 1):
-                where[t[at : at + n]].append((i, at))
-        self.auto = ahocorasick.Automaton()
-        for piece, spots in where.items():
-            owners = {self.text[i] for i, _ in spots}
-            if len(owners) < common:  # a stretch many passages share is a stock phrase, no evidence
-                self.auto.add_word(piece, (len(piece), spots))
-        if len(self.auto):
-            self.auto.make_automaton()
-
-    def find(self, doc: str | None) -> list[int]:
-        text = bare(doc)
-        if not text or not len(self.auto):
-            return []
-        hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for end, (n, spots) in self.auto.iter(text):
-            for i, at in spots:
-                hits[i].append((end - n + 1, at, n))
-        return [i for i, h in hits.items() if len(h) >= self.least[i] and self._dense(i, h) and self.best(i, text, h) >= self.part - 0.02]
-
-    def _dense(self, item: int, hits: list[tuple[int, int, int]]) -> bool:
-        """Are enough literal stretches on neighbouring diagonals? A repeated part shifts by its few added or dropped characters only."""
-        lanes: dict[int, int] = defaultdict(int)
-        for d, p, _ in hits:
-            lanes[(d - p) // 64] += 1
-        return any(k + lanes.get(lane + 1, 0) >= self.least[item] for lane, k in list(lanes.items()))
-
-    # two fifths may be counted in words or characters: 0.02 is the room for that
-    def best(self, item: int, text: str, hits: list[tuple[int, int, int]]) -> float:
-        """The largest share of the passage found as running text within the error rate."""
-        passage = self.text[item]
-        whole, rate = len(passage), self.rates[self.wide[item]]
-        best = 0.0
-        for chain in self._chains(hits, whole):
-            best = max(best, self._run(passage, text, chain, rate) / whole)
-            if best >= self.part - 0.02:
+def _sentences(text: str | None) -> list[str]:
+    return [p for p in _SPLIT.split(text or "") if bare(p)]
+
+
+def _grams(text: str, n: int = 4) -> set[str]:
+    return {text[i : i + n] for i in range(max(1, len(text) - n + 1))}
+
+
+def unlike(contexts: list[str], more: list[str], most: int) -> list[str]:
+    """Adds texts to a list of mutually unlike ones (under half of the grams shared) until it holds ``most``."""
+    for c in more:
+        if len(contexts) >= most:
+            break
+        g = _grams(c)
+        if all(2 * len(g & o) < min(len(g), len(o)) for o in map(_grams, contexts)):
+            contexts.append(c)
+    return contexts
+
+
+def frame_sentences(items: DataFrame, shared: int) -> set[tuple[int, str]]:
+    """(side, bare sentence) of the question frames, learned over all items.
+
+    A sentence near the start (end) belongs to the frame where the sentences
+    after (before) it are of ``shared`` mutually unlike kinds: a question put to
+    different passages. Several questions on one passage, or on variants of it,
+    always show the same continuation and make no frame of it. Contexts are
+    reduced per task to ``shared`` unlike ones before the shuffle.
+    """
+
+    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple[int, str], list[str]] = defaultdict(list)
+        for pdf in batches:
+            for text in pdf["text"]:
+                parts = [bare(p) for p in _sentences(text)]
+                for side, row in ((0, parts), (1, parts[::-1])):
+                    for k, s in enumerate(row[:DEEP]):
+                        if k + 1 < len(row):  # two sentences: the next may be a label of the same frame
+                            unlike(seen[side, s], ["".join(row[k + 1 : k + 3])], shared)
+        rows = [(side, s, c) for (side, s), cs in seen.items() for c in cs]
+        yield pd.DataFrame(rows, columns=["side", "sentence", "context"])
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = len(unlike([], sorted(pdf["context"]), shared))
+        return pdf[["side", "sentence"]].head(1 if n >= shared else 0)
+
+    found = (
+        items.select("text")
+        .mapInPandas(contexts, "side int, sentence string, context string")
+        .groupBy("side", "sentence")
+        .applyInPandas(decide, "side int, sentence string")
+    )
+    return {(r.side, r.sentence) for r in found.collect()}  # at most two sentences per ``shared`` items
+
+
+def passage(text: str | None, frames: set[tuple[int, str]], most: float = 0.5) -> list[str]:
+    """The words (outside Japanese: by blanks) of the passage in bare form, frame sentences cut.
+
+    At most the share ``most`` of an item is cut; an item that is all frame stays whole.
+    """
+    parts = _sentences(text)
+    room = most * sum(len(bare(p)) for p in parts)
+    for side in (0, 1):
+        for _ in range(DEEP):
+            at = -1 if side else 0
+            size = len(bare(parts[at])) if parts else 0
+            if len(parts) < 2 or (side, bare(parts[at])) not in frames or size > room:
                 break
-        return best
+            room -= size
+            del parts[at]
+    return [w for p in parts for t in _WORD.findall(_TAG.sub("", html.unescape(p))) if (w := bare(t))]
+
+
+# -- rolling hashes ----------------------------------------------------------
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24)
+
+
+def rolled(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every window of ``size`` characters (by doubling, wrapping at 64 bits)."""
+    have, width, shift = codes.astype(np.uint64), 1, 1
+    out, done = None, 0
+    with np.errstate(over="ignore"):
+        power = _BASE
+        left = size
+        while left:
+            if left & 1:
+                if out is None:
+                    out, done = have, width
+                else:
+                    n = len(codes) - done - width + 1
+                    if n <= 0:
+                        return np.zeros(0, np.uint64)
+                    out = out[:n] * power + have[done : done + n]
+                    done += width
+            left >>= 1
+            if left:
+                n = len(have) - width
+                if n <= 0:
+                    return np.zeros(0, np.uint64)
+                have = have[:n] * power + have[width : width + n]
+                width *= 2
+                power = power * power
+        out = out * np.uint64(0xD6E8FEB86659FD93)
+        return out ^ (out >> np.uint64(32))
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class Lookup:
+    """Places of hashes in a sorted list, by a bit table first."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.unique(keys)
+        self.bits = max(10, min(24, int(len(self.keys)).bit_length() + 4))
+        self.mask = np.uint64((1 << self.bits) - 1)
+        self.table = np.zeros(1 << self.bits, bool)
+        self.table[(self.keys & self.mask).astype(np.int64)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, indexes of their keys)."""
+        at = np.flatnonzero(self.table[(hashes & self.mask).astype(np.int64)])
+        where = np.searchsorted(self.keys, hashes[at])
+        where[where == len(self.keys)] = 0
+        right = self.keys[where] == hashes[at]
+        return at[right], where[right]
+
+
+class Matcher:
+    """Pieces, grams and verification for one block of items."""
+
+    GRAM = ((6, 12), (4, 7))  # shared grams counted: running Latin, Japanese
+    REACH = 48  # characters a run may grow beyond its outer literal blocks
+    BLOCK = (12, 6)  # literal blocks that verification starts from
+
+    def __init__(self, items: list[tuple[int, list[str]]], part: float, rates: tuple[float, float]):
+        self.part, self.rates = part, rates
+        self.floor = part - 0.02  # two fifths may be counted in words or characters: the room for that
+        classes: dict[str, list[int]] = defaultdict(list)
+        words: dict[str, list[str]] = {}
+        for i, w in items:
+            text = "".join(w)
+            if text:
+                classes[text].append(i)
+                words[text] = w
+        self.text = sorted(classes)
+        self.items = [classes[t] for t in self.text]
+        self.wide = [len(_CJK.findall(t)) * 3 > len(t) for t in self.text]
+        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)  # size: (class, offset)
+        self.run, self.need = [], []
+        for c, t in enumerate(self.text):
+            rate = rates[self.wide[c]]
+            starts, budget = self._pieces(t, words[t], rate)
+            for a, b in zip(starts, starts[1:]):
+                size = max(s for s in SIZES if s <= b - a)
+                seeds[size].append((c, a))
+            run = max(1, int(self.floor * len(t)))
+            self.run.append(run)
+            self.need.append([run - g + 1 - budget * (g - 1) - int(rate * run + 1) for g in self.GRAM[self.wide[c]]])
+        self.seeds = {}
+        for size, spots in seeds.items():
+            h = np.array([rolled(codes_of(self.text[c][a : a + size]), size)[0] for c, a in spots], np.uint64)
+            look = Lookup(h)
+            key = np.searchsorted(look.keys, h)
+            order = np.argsort(key, kind="stable")
+            owner = np.array([spots[k][0] for k in order], np.int64)
+            first = np.searchsorted(key[order], np.arange(len(look.keys) + 1))
+            self.seeds[size] = (look, first, owner)
+        self.grams = {}
+        for w, k in ((w, k) for w in set(self.wide) for k in (0, 1)):
+            per = {c: rolled(codes_of(t), self.GRAM[w][k]) for c, t in enumerate(self.text) if self.wide[c] == w}
+            look = Lookup(np.concatenate([*per.values(), np.zeros(1, np.uint64)]))
+            self.grams[w, k] = (look, {c: np.searchsorted(look.keys, h) for c, h in per.items()})
+        self.spots: dict[int, dict[str, list[int]]] = {}
+
+    def _pieces(self, text: str, words: list[str], rate: float) -> tuple[list[int], int]:
+        """Borders of the pieces and the error budget of a run.
+
+        Units are words, in Japanese characters. A run of u units with at most
+        e changed ones holds (u + 1) // w - 1 whole pieces of w units; w is the
+        largest size for which that is e + 1 or more.
+        """
+        if len(_CJK.findall(text)) * 3 > len(text):
+            ends = list(range(len(text) + 1))
+        else:
+            ends = [0]
+            for w in words:
+                ends.append(ends[-1] + len(w))
+        run = max(1, int(self.floor * (len(ends) - 1)))
+        budget = int(rate * run) + 1
+        step = max(1, (run + 1) // (budget + 2))
+        return ends[::step] if len(ends) > step else [0, ends[-1]], budget  # whole pieces only
+
+    def batch(self, texts: list[str | None]) -> list[list[int]]:
+        """Per document the items it repeats."""
+        bares = [bare(t) for t in texts]
+        out: list[list[int]] = [[] for _ in texts]
+        if not self.text:
+            return out
+        joined = "\0".join(bares) + "\0"
+        codes = codes_of(joined)
+        start = np.concatenate([[0], np.cumsum([len(b) + 1 for b in bares])])
+        found = []
+        for size, (look, first, owner) in self.seeds.items():
+            at, key = look.find(rolled(codes, size))
+            doc = np.searchsorted(start, at, "right") - 1
+            n = first[key + 1] - first[key]
+            pair = np.repeat(doc, n) * len(self.text)
+            jump = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+            found.append(np.unique(pair + owner[np.repeat(first[key], n) + jump]))
+        pairs = np.unique(np.concatenate(found))
+        docs, classes = pairs // len(self.text), pairs % len(self.text)
+        self.seen = len(pairs)
+        hits = {}
+        for (w, k), (look, _) in self.grams.items():
+            at, key = look.find(rolled(codes, self.GRAM[w][k]))
+            hits[w, k] = (np.searchsorted(at, start), key, np.zeros(len(look.keys), bool))
+        last, self.kept = -1, 0
+        for d, c in zip(docs.tolist(), classes.tolist()):
+            if d != last:
+                for edge, key, flag in hits.values():
+                    if last >= 0:
+                        flag[key[edge[last] : edge[last + 1]]] = False
+                    flag[key[edge[d] : edge[d + 1]]] = True
+                last = d
+            w = self.wide[c]
+            if all(self._shares(c, k, hits[w, k][2]) for k in (1, 0)):
+                self.kept += 1
+                if self.repeats(c, bares[d]):
+                    out[d] += self.items[c]
+        return out
+
+    def _shares(self, c: int, k: int, flag: np.ndarray) -> bool:
+        """Has any run of the passage as many grams in the document as the allowed changes must leave?"""
+        w, need = self.wide[c], self.need[c][k]
+        if need <= 0:
+            return True
+        have = flag[self.grams[w, k][1][c]]
+        span = self.run[c] - self.GRAM[w][k] + 1
+        if np.count_nonzero(have) < need:
+            return False
+        if len(have) <= span:
+            return True
+        total = np.cumsum(have, dtype=np.int32)
+        return int((total[span:] - total[:-span]).max(initial=0)) >= need or int(total[span - 1]) >= need
+
+    # -- verification ------------------------------------------------------
+    def repeats(self, c: int, doc: str) -> bool:
+        """Does the document hold a run of the passage within the error rate?"""
+        passage, rate = self.text[c], self.rates[self.wide[c]]
+        n = min(self.BLOCK[self.wide[c]], len(passage))
+        spots = self.spots.get(c)
+        if spots is None:
+            spots = defaultdict(list)
+            for p in range(len(passage) - n + 1):
+                spots[passage[p : p + n]].append(p)
+            self.spots[c] = spots
+        hits = [(d, p, n) for d in range(len(doc) - n + 1) for p in spots.get(doc[d : d + n], ())]
+        want = self.floor * len(passage)
+        for chain in self._chains(hits, len(passage)):
+            if chain[-1][3] - chain[0][2] + 2 * self.REACH < want:
+                break  # chains come in falling order of span
+            if self._run(passage, doc, chain, rate, want):
+                return True
+        return False
 
     @staticmethod
     def _chains(hits: list[tuple[int, int, int]], whole: int) -> Iterator[list[list[int]]]:
@@ -170,30 +375,27 @@ class Matcher:
             return cost
         return min(cost, max(len(want), 6) + max(0, len(have) - len(want) - 14))
 
-    def _run(self, passage: str, text: str, chain: list[list[int]], rate: float) -> int:
-        """Passage length of the longest run of blocks within the error rate, ends extended."""
+    def _run(self, passage: str, text: str, chain: list[list[int]], rate: float, want: float) -> bool:
+        """Is a run of blocks, its ends grown, within the error rate and as long as wanted?"""
         n = len(chain)
-        cost = [0] * n  # errors between block k - 1 and block k
+        total = [0.0] * n  # errors up to block k
         for k in range(1, n):
             a, b = chain[k - 1], chain[k]
-            cost[k] = self._gap(passage[a[3] : b[2]], text[a[1] : b[0]], rate)
-        total = [0] * n
-        for k in range(1, n):
-            total[k] = total[k - 1] + cost[k]
-        best = 0
+            total[k] = total[k - 1] + self._gap(passage[a[3] : b[2]], text[a[1] : b[0]], rate)
         for i in range(n):
             for j in range(n - 1, i - 1, -1):
                 size = chain[j][3] - chain[i][2]
-                if size + 60 <= best:
+                if size + 2 * self.REACH < want:
                     break
                 errors = total[j] - total[i]
                 if errors <= rate * size + 1:
-                    best = max(best, self._extend(passage, text, chain[i], chain[j], size, errors, rate))
+                    if size >= want or self._extend(passage, text, chain[i], chain[j], size, errors, rate, self.REACH) >= want:
+                        return True
                     break
-        return best
+        return False
 
     @staticmethod
-    def _extend(passage: str, text: str, first: list[int], last: list[int], size: int, errors: int, rate: float, reach: int = 48) -> int:
+    def _extend(passage: str, text: str, first: list[int], last: list[int], size: int, errors: float, rate: float, reach: int) -> int:
         """Grows the run over changed ends while the error rate holds."""
         for side in (0, 1):
             if side:
@@ -207,6 +409,8 @@ class Matcher:
                 for y, other in enumerate(t, 1):
                     nxt.append(min(row[y] + 1, nxt[y - 1] + 1, row[y - 1] + (ch != other)))
                 row = nxt
+                if errors + min(row) > rate * (size + len(p)) + 1:
+                    break  # costs only rise
                 # the grown end must itself be mostly repeated text
                 if min(row) <= 0.5 * x and errors + min(row) <= rate * (size + x) + 1:
                     gain, spent = x, min(row)
@@ -219,32 +423,57 @@ def leaked(
     items: DataFrame,
     part: float = 0.4,
     rates: tuple[float, float] = (0.13, 0.07),
-    pieces: tuple[int, int] = (20, 10),
-    common: int = 4,
-    block: int = 2000,
+    shared: int = 6,
+    block: int = 20_000,
 ) -> DataFrame:
     """(doc_id, item_id) where the document repeats at least ``part`` of the item's passage.
 
-    ``rates``: changed share of characters allowed in running (Latin, Japanese)
+    ``rates``: changed share of a run allowed in running (Latin, Japanese)
     text: one word in ten and one character in twenty, with room for words
-    longer than average. ``pieces``: literal stretch per script. ``common``: a
-    stretch in so many different passages is a stock phrase. Null and empty
-    texts match nothing; repeated items and documents are each reported under
-    their own id; extra columns are ignored. The item table is a held-out test
-    set and is read to the driver; it is handed on ``block`` items at a time.
+    longer than average; the piece length follows from it. ``shared``: unlike
+    passages a question sentence must be put to. ``block``: items handed to the
+    executors at a time (all their statistics are those of all items, so the
+    rows do not depend on it); each block reads the documents once. Null and
+    empty texts match nothing; repeated items and documents are each reported
+    under their own id; extra columns are ignored.
     """
-    held = [(int(r.item_id), r.text) for r in items.select("item_id", "text").where("item_id is not null").collect()]
-    frames = passages(held)
-    parts = [held[i : i + block] for i in range(0, len(held), block)] or [[]]
-    out = None
-    for some in parts:
-
-        def scan(batches: Iterator[pd.DataFrame], some=some) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(some, part, rates, pieces, common, frames)
+    spark = documents.sparkSession
+    held = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null")
+    frames = frame_sentences(held, shared)
+
+    def scan_with(some: list[tuple[int, list[str]]]) -> DataFrame:
+        index = spark.sparkContext.broadcast((some, part, rates))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            matcher = Matcher(*index.value)
             for pdf in batches:
-                rows = [(d, i) for d, t in zip(pdf["doc_id"], pdf["text"]) for i in matcher.find(t)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
+                texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
+                for at, to in slices(texts):
+                    rows = [(d, i) for d, found in zip(ids[at:to], matcher.batch(texts[at:to])) for i in found]
+                    yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
+
+        return documents.select("doc_id", "text").mapInPandas(scan, "doc_id long, item_id long")
 
-        one = documents.select("doc_id", "text").mapInPandas(scan, "doc_id long, item_id long")
+    out, some = None, []
+    for row in held.toLocalIterator():  # the driver holds one block
+        some.append((row.item_id, passage(row.text, frames)))
+        if len(some) == block:
+            one, some = scan_with(some), []
+            out = one if out is None else out.unionByName(one)
+    if some or out is None:
+        one = scan_with(some)
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def slices(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of texts of bounded total length (a longer text stands alone)."""
+    at, size = 0, 0
+    for k, t in enumerate(texts):
+        n = len(t or "")
+        if size and size + n > most:
+            yield at, k
+            at, size = k, 0
+        size += n
+    if at < len(texts):
+        yield at, len(texts)

@@ -80,6 +80,70 @@ def test_nulls_empty_repeats(spark):
     assert leakage.leaked(none, i).count() == 0 and leakage.leaked(d, spark.createDataFrame([], ITEM)).count() == 0
 
 
-def test_frame_is_cut():
-    frames = leakage.passages([(i, f"Read this. unique{i} words here. Give one code.") for i in range(8)])
-    assert frames[3] == "unique3wordshere"
+def test_frame_is_cut(spark):
+    rnd = random.Random(3)
+    rows = [(i, "Read this. " + " ".join(words(rnd, 12)).capitalize() + ". Question: which code is it?", 1) for i in range(8)]
+    frames = leakage.frame_sentences(spark.createDataFrame(rows, ITEM), 6)
+    assert frames == {(0, "readthis"), (1, "question"), (1, "whichcodeisit")}
+    assert all("".join(leakage.passage(t, frames)) == leakage.bare(t)[8:-21] for _, t, _ in rows)
+
+
+def test_same_passage_is_no_frame(spark):
+    """However many items ask about one passage or variants of it, none of its sentences is cut and each item is reported."""
+    rnd = random.Random(4)
+    sentence = [" ".join(words(rnd, 14)).capitalize() + "." for _ in range(5)]
+    for count, vary in ((1, 0), (5, 0), (20, 0), (5, 1), (20, 1)):
+        rows = []
+        for i in range(count):
+            own = sentence[:]
+            if vary:
+                own[i % 5] = " ".join(["zuzuki", *own[i % 5].split()[1:]])
+            rows.append((i, f"{' '.join(words(rnd, 4))}? " + " ".join(own), 1))
+        items = spark.createDataFrame(rows, ITEM)
+        docs = spark.createDataFrame([(1, " ".join(words(rnd, 60) + sentence + words(rnd, 60)), 1), (2, " ".join(words(rnd, 200)), 1)], DOC)
+        for block in (2, 2000):
+            assert sorted(tuple(r) for r in leakage.leaked(docs, items, block=block).collect()) == [(1, i) for i in range(count)]
+
+
+def test_pieces_meet_the_budget():
+    """Pigeonhole: however e words of a run change, one whole piece of it stays."""
+    rnd = random.Random(9)
+    text = words(rnd, 60)
+    m = leakage.Matcher([(1, text)], 0.4, (0.13, 0.07))
+    borders, budget = m._pieces("".join(text), text, 0.13)
+    ends = [0]
+    for w in text:
+        ends.append(ends[-1] + len(w))
+    run = int(m.floor * len(text))
+    for at in range(len(text) - run + 1):
+        for _ in range(20):
+            bad = set(rnd.sample(range(at, at + run), budget))
+            whole = [a for a, b in zip(borders, borders[1:]) if ends[at] <= a and b <= ends[at + run] and not any(a <= ends[k] < b for k in bad)]
+            assert whole
+
+
+def test_planted_recall(spark):
+    """Random shares, changes and places: recall 0.9 and more, nothing else found."""
+    rnd = random.Random(11)
+    items = {i: words(rnd, rnd.randint(40, 90)) for i in range(150)}
+    stock = [words(rnd, 8) for _ in range(6)]  # phrases all passages and documents share
+    for i in items:
+        for s in stock[:3]:
+            at = rnd.randrange(len(items[i]))
+            items[i][at:at] = s
+    docs, want = {}, set()
+    for d in range(600):
+        text = words(rnd, 120) + sum(stock, [])
+        if d % 2:
+            i = rnd.randrange(150)
+            n = int(len(items[i]) * rnd.uniform(0.46, 1.0))
+            at = rnd.randint(0, len(items[i]) - n)
+            part = items[i][at : at + n]
+            for k in rnd.sample(range(n), n // 11):
+                part[k] = rnd.choice(["", words(rnd, 1)[0], part[k] + " " + words(rnd, 1)[0]])
+            where = rnd.randrange(len(text))
+            text[where:where] = part
+            want.add((d, i))
+        docs[d] = " ".join(text)
+    got = {tuple(r) for r in leakage.leaked(spark.createDataFrame([(k, t, 1) for k, t in docs.items()], DOC), spark.createDataFrame([(i, " ".join(w), 1) for i, w in items.items()], ITEM)).collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.01 * len(want)
