@@ -1,17 +1,19 @@
 """Template residue and error-page text (fixed-depth prefix tree).
 
-Sentences become masked token lists. Each task mines message templates with a
-prefix tree of fixed depth (token count, first tokens, then the likest
-template of the same verdict); the templates of all tasks are merged per leaf
-and counted over the whole corpus. Templates merge only where the verdict stays
-what it was for each sentence. Residue templates are handed back to the tree,
-and every sentence that falls on one of them and is itself residue marks its
-document, whatever else the corpus holds.
-Unfilled slots inside ordinary sentences are found separately; which slot names
-count is learned from the names that occur in several notations.
-
-What is shuffled and merged is templates, not sentences. The judged residue
-templates, a small share of the message templates, are sent to the executors.
+Sentences become masked token lists. A prefix tree of fixed depth (token count,
+first tokens, then the likest template of the same verdict) mines message
+templates in each task; a sentence has the verdict of its template, and
+templates merge only where the verdict stays what it was for each sentence, so
+it never depends on what else the corpus holds. The verdict comes from a linear
+classifier (ridge regression in the dual) over words, word stems, word pairs
+and Japanese character runs, fitted on a labelled sample of bounded size: an
+unseen wording is judged by the words it shares with both sides.
+Unfilled slots inside ordinary sentences are found separately by a grammar of
+mirrored brackets; notations ordinary text uses too count for field names only,
+those of the sample and those the corpus shows in several notations.
+
+The corpus is read once. What is written are templates, slot names and the few
+marked documents; slot names and documents meet in a join.
 """
 
 from __future__ import annotations
@@ -19,89 +21,44 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kasane.llm import samples
 from kasane.runtime import Scratch, shuffle_width
 
 WILD = "<*>"
 DEPTH = 3
 LIKE = 0.55
+SAMPLE = 5_000  # labelled sentences at most
+LIMIT = 0.2  # score from which a sentence is residue
+SHORT = (9.0, 0.6, 0.35)  # the same for no, one or two words (three Japanese characters count as one)
 
 _INVISIBLE = re.compile("[​‌‍⁠﻿­]")
 _TAG = re.compile(r"</?(?:html|head|body|title|h[1-6]|p|div|span|center|b|i|em|strong|br|hr|a|ul|li|noscript)\b[^<>]*>", re.I)
+_WRAP = re.compile(r"(?<=[a-z0-9,;°%])\n(?=[a-z0-9])(?![a-z]+ ?:)")
 _PIECE = re.compile(r"(?<=[。!?！？])\s*|(?<=[a-z0-9)]\.)\s+|\n+|\s+[–|—]\s+|　+", re.I)
 _TOKEN = re.compile(r"\x00|[0-9]+|[a-z'’_-]+|[ァ-ヶー]+|[぀-ゟ]+|[一-鿿々]+|[^\s]", re.I)
 _CODE = re.compile(r"[a-h][0-9]{2}[a-z]\s*[0-9]+/[0-9]+|[0-9][a-z][0-9]{3}[a-z]{2}[0-9]+", re.I)
 _ID = re.compile(r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{6,}\b", re.I)
-
-#: Wording of script notices, error pages and refusals (fixed values).
-MESSAGES = re.compile(
-    r"(?:needs?|requires?|enable|turn on|allow|without|activate) (?:javascript|scripts?|scripting)|javascript (?:is|must be|has been) (?:required|disabled|off|enabled|turned)"
-    r"|javascript and cookies|scripting (?:is )?(?:switched |turned )?(?:on|off)|scripts are (?:allowed|blocked|disabled)|does not run scripts|noscript|blocks active content"
-    r"|cannot be (?:drawn|shown|displayed|loaded)|can(?:not)? be shown at the moment|(?:page|address|resource|text|link|url)\b.*\b(?:not found|could not be found|no longer|taken down|may be broken|does not exist)"
-    r"|^\W*(?:error )?\(?[45][0-9]{2}\)?\W*(?:not found|forbidden|unauthorized|bad gateway|service unavailable|gateway timeout|internal server error|error)"
-    r"|^\W*(?:internal server error|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|forbidden|page not found|404 not found|access denied)\W*$"
-    r"|\berror \(?[45][0-9]{2}|\b(?:http )?[45][0-9]{2} (?:not found|forbidden|bad gateway|service unavailable|internal server error)"
-    r"|something went wrong|^oops\b|unexpected (?:condition|error)|refused to hand out|administrators? ha(?:s|ve) been informed|being maintained|under maintenance"
-    r"|try again (?:in|later)|please (?:reload|refresh|try again|log in|sign in|enable)|access to .{1,60} is denied|you (?:lack|do not have) (?:the |a )?(?:valid )?(?:permission|licen[cs]e|access|right)"
-    r"|session has (?:ended|expired|timed out)|(?:sign|log) in again|no entries can be shown|check that scripts|switch scripting|reload the page|too many requests|request (?:timed out|could not be)"
-    r"|\btraceback\b|^\W*\w*(?:error|exception)\W*:|(?:lookup|query|request|connection|operation) (?:failed|lost|refused|reset|aborted|timed out)|unhandled exception|stack trace|syntax error|permission denied"
-    r"|did not (?:answer|respond)|(?:back ?end|host|server|gateway|database|service) (?:is )?(?:unreachable|down|not responding|unavailable)|upstream (?:closed|error|timed out|prematurely)|\bquery ?: ?select\b|no such (?:file|table|column|page)|could not be loaded"
-    r"|トップページへ(?:お)?戻|スクリプトが(?:動作して|無効|オフ|許可)|スクリプトの許可|(?:javascript|スクリプト)を有効|javascriptが(?:オフ|無効)|(?:ページ|url|リンク|ファイル).{0,12}(?:見つかりません|存在しない|存在しません|移動した)"
-    r"|権限がありません|アクセスが拒否|有効期限が切れ|再度(?:ログイン|アクセス|お試し|読み込)|(?:混み合って|込み合って)い|メンテナンス中|エラーが発生|内部エラー|エラー番号|エラーコード|管理者に(?:お問い合わせ|連絡)"
-    r"|(?:表示|描画|読込み|読み込み|接続|処理)(?:に失敗し|でき)(?:ました|ません)|読み込めません|お待ちください|お探しの|しばらくしてから|設定をご確認",
-    re.I,
-)
-#: Sentences that assign a subject to a place of its own or describe a device (fixed values).
-DESCRIBES = re.compile(
-    r"(?:go(?:es)? to|belongs? (?:to|here)|(?:is|are) (?:covered by|indexed (?:as|under)|classified in)|has its own place in|see also|falls? under) ?\x00?"
-    r"|^group ?\x00 ?covers|^format strings|^methods for|^handling of|^filler text of|^template engines"
-    r"|(?:に分類する|を参照|も参照|を含む|をいう|は除く|処理を含む|を行うもの)",
-    re.I,
-)
-#: Words and sentences that only fill space (fixed values).
-LOREM = (
-    "lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud "
-    "exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur "
-    "excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum"
-).split()
-FILLER = re.compile(
-    r"\b(?:description|text|title|content|summary|abstract) goes here|\byour (?:text|title|content) here|dummy text|sample text|placeholder text|lorem ipsum|asdf asdf|1234567890\b"
-    r"|ダミーテキスト|ダミー文|サンプル(?:文章|テキスト)|ここに.{1,10}が入ります|ここに.{1,10}を入力|テキストが入ります|文章が入ります",
-    re.I,
-)
-_AGAIN = re.compile(r"\b([a-z]{2,12})(?:\W{0,2}\s?\1\b){2,}|([぀-ヿ一-鿿]{2,5})\2{2,}|([ぁ-ん])\3{4,}", re.I)
-_LOREM5 = {w[:5] for w in LOREM if len(w) >= 5} | {w for w in LOREM if len(w) < 5}
-
-#: Notations of an unfilled field (fixed values); the name is the first group that matched.
-SLOTS = (
-    ("mustache", re.compile(r"\{\{\s*#?([A-Za-z][\w ]{0,30})\s*\}\}")),
-    ("statement", re.compile(r"\{%\s*([A-Za-z][\w ]{0,30})\s*%\}")),
-    ("shell", re.compile(r"\$\{\s*([A-Za-z][\w.]{0,30})\s*\}")),
-    ("ruby", re.compile(r"#\{\s*([A-Za-z][\w.]{0,30})\s*\}")),
-    ("erb", re.compile(r"<%=?\s*([A-Za-z][\w ]{0,30})\s*%>")),
-    ("printf", re.compile(r"%\(\s*([A-Za-z]\w{0,30})\s*\)[sdrif]")),
-    ("percent", re.compile(r"%%\s*([A-Za-z]\w{0,30})\s*%%")),
-    ("at", re.compile(r"@@\s*([A-Za-z]\w{0,30})\s*@@")),
-    ("under", re.compile(r"(?<!\w)__([A-Za-z][A-Za-z_]{1,30}?)__(?!\w)")),
-    ("angle", re.compile(r"<<\s*([A-Za-z]\w{0,30})\s*>>")),
-    ("double", re.compile(r"\[\[\s*([A-Za-z]\w{0,30})\s*\]\]")),
-    ("insert", re.compile(r"\[\s*(?:INSERT|ENTER|ADD|YOUR)\s+([A-Za-z][\w ]{0,30}?)(?:\s+HERE)?\s*\]", re.I)),
-    ("supply", re.compile(r"\[\s*([A-Za-z][\w ]{0,30}?)\s+(?:to be (?:supplied|added|filled in|inserted|completed)|goes here|here|tbd)\s*\]", re.I)),
-    ("marked", re.compile(r"(?<![A-Za-z])X{3,}[-_ ]([A-Za-z]\w{0,30}?)[-_ ]X{3,}(?![A-Za-z])")),
-    ("fill", re.compile(r"【\s*([^】]{1,30}?)(?:を|の)?(?:記入|入力|挿入)】")),
-    ("circles", re.compile(r"[○〇●◯]{2,}[（(]([^（）()]{1,30}?)名?[）)][○〇●◯]{2,}")),
-    ("escaped", re.compile(r"&lt;\s*([A-Za-z]\w{0,30})\s*&gt;")),
-    ("brace", re.compile(r"(?<![{$#%\w])\{([A-Za-z]\w{1,30})\}(?!\})")),
-)
-#: Notations that ordinary text uses too: the name must be a learned one.
-WEAK = {"brace", "escaped", "under"}
+_DIGITS = re.compile(r"0?1234567890?")
+_CJK = re.compile(r"[぀-ヿ一-鿿々]")
+_AGAIN = re.compile(r"(.{1,5}?)\1{2,}")
+
+# -- slots -------------------------------------------------------------------
+_NAME = r"[A-Za-z぀-ヿ一-鿿][\w .-]{0,30}?|[0-9]{1,2}"
+_SLOT = re.compile(rf"(\{{\{{\s*[#/]?|[$#]\{{|\{{[$%]?|<%=?|<<?|&lt;|%\(|%%?|@@?|\[\[?|__|\$|【|[○〇●◯]{{2,}}[（(])\s*({_NAME})\s*(\}}\}}|%?\}}|%>|>>?|&gt;|\)[sdrif]|%%?|@@?|\]\]?|__|\$|】|名?[）)][○〇●◯]{{2,}})")
+_MIRROR = {"{{": "}}", "${": "}", "#{": "}", "{$": "}", "{%": "%}", "{": "}", "<%": "%>", "<%=": "%>", "<<": ">>", "<": ">", "&lt;": "&gt;", "%%": "%%", "%": "%", "@@": "@@", "@": "@", "[[": "]]", "[": "]", "__": "__", "$": "$", "【": "】"}
+_WEAK = {"{", "<", "&lt;", "%", "@", "[[", "[", "__", "$", "【"}
+_ASKED = re.compile(r"^(?:insert|enter|add|type|fill in|your)\s+(.+?)(?:\s+here)?$|^(.+?)\s+(?:to be (?:supplied|added|filled in|inserted|completed)|goes here|here|tbd)$|^(.+?)[をの]?(?:記入|入力|挿入)(?:する)?$", re.I)
+_MARKED = re.compile(r"(?<![A-Za-z])X{3,}[-_ ]([A-Za-z]\w{0,30}?)[-_ ]X{3,}(?![A-Za-z])")
 _QUOTED = re.compile(r"(?:\b(?:like|such as|e\.g\.,?|for example|called|named|written)|例：|例えば|例:|[「『“\"'‘`])\s*$", re.I)
+_SUM = re.compile(r"[=∈+^_,]\s*$")
 
 
 def fold(text: str | None) -> str:
@@ -110,15 +67,90 @@ def fold(text: str | None) -> str:
 
 
 def sentences(text: str) -> list[str]:
-    return [p for s in _PIECE.split(_TAG.sub("\n", text)) if s and (p := s.strip())]
+    return [p for s in _PIECE.split(_TAG.sub("\n", _WRAP.sub(" ", text))) if s and (p := s.strip())]
 
 
 def mask(sentence: str) -> list[str]:
-    """Tokens with codes as NUL, numbers, identifiers and long katakana runs as wild cards."""
-    s = _ID.sub("0", _CODE.sub("\x00", sentence.lower()))
+    """Tokens with codes as NUL, numbers and identifiers as wild cards, a row of all digits as a word."""
+    s = _DIGITS.sub(" digitrow ", sentence.lower())
+    s = _ID.sub("0", _CODE.sub("\x00", s))
     return [WILD if t[0].isdigit() else t for t in _TOKEN.findall(s)]
 
 
+@lru_cache(maxsize=1 << 16)
+def _grams(run: str) -> tuple[str, ...]:
+    """Character runs of a Japanese stretch."""
+    r = f"^{run}$"
+    out = {"j:" + r[i : i + n] for n in (2, 3, 4) for i in range(len(r) - n + 1)}
+    if _AGAIN.search(run):
+        out.add("#again")
+    return tuple(out)
+
+
+def features(tokens: Sequence[str]) -> set[str]:
+    """Words, stems, pairs of neighbours, Japanese character runs, and words said three times in a row."""
+    out: set[str] = set()
+    run, before, same = "", "^", 1
+    for k, t in enumerate(tokens):
+        same = same + 1 if k and t == tokens[k - 1] and t[0].isalpha() else 1
+        if same >= 3:
+            out.add("#again")
+        if _CJK.match(t):
+            run, before = run + t, "j"
+            continue
+        if run:
+            out.update(_grams(run))
+            run = ""
+        if len(t) > 1 or t.isalnum() or t == "\x00":
+            out.add("w:" + t)
+            if len(t) > 5:
+                out.add("p:" + t[:5])
+            out.add(f"b:{before} {t}")
+        before = t
+    if run:
+        out.update(_grams(run))
+    return out
+
+
+class Classifier:
+    """Ridge regression on the labelled sample; the score is about 1 for residue and -1 for ordinary text."""
+
+    def __init__(self, residue: Sequence[str], ordinary: Sequence[str], strength: float = 0.3, bias: float = 0.1):
+        rows = [features(mask(fold(s))) for s in (*residue, *ordinary)]
+        if len(rows) > SAMPLE:
+            raise ValueError(f"more than {SAMPLE} labelled sentences")
+        place: dict[str, int] = {}
+        for r in rows:
+            for f in sorted(r):
+                place.setdefault(f, len(place))
+        x = np.zeros((len(rows), len(place)))
+        for i, r in enumerate(rows):
+            x[i, [place[f] for f in r]] = 1 / max(4, len(r)) ** 0.5
+        y = np.array([1.0] * len(residue) + [-1.0] * len(ordinary))
+        size = np.where(y > 0, 2 * len(residue), 2 * len(ordinary)) / len(y)  # both sides weigh the same
+        dual = np.linalg.solve(x @ x.T + bias + np.diag(strength * size), y)
+        self.weight = dict(zip(place, (x.T @ dual).tolist()))
+        self.bias = float(bias * dual.sum())
+
+    def score(self, tokens: Sequence[str]) -> float:
+        found = features(tokens)
+        get = self.weight.get
+        return sum(get(f, 0.0) for f in found) / max(4, len(found)) ** 0.5 + self.bias
+
+
+@lru_cache(maxsize=1)
+def classifier() -> Classifier:
+    return Classifier(samples.lines(samples.RESIDUE), samples.lines(samples.ORDINARY))
+
+
+@lru_cache(maxsize=1 << 15)
+def judged(tokens: tuple[str, ...]) -> bool:
+    """The verdict on masked tokens."""
+    words = [t for t in tokens if t != WILD and len(t) > 1]
+    size = len(words) + sum(len(t) // 3 for t in words if _CJK.match(t))
+    return size > 0 and classifier().score(tokens) >= (SHORT[size] if size < len(SHORT) else LIMIT)
+
+
 class Tree:
     """Message templates in a prefix tree of fixed depth."""
 
@@ -130,8 +162,8 @@ class Tree:
         head = tuple(WILD if t == WILD or any(c.isdigit() for c in t) else t for t in tokens[: DEPTH - 1])
         return (len(tokens), *head)
 
-    def add(self, tokens: list[str], n: int = 1) -> None:
-        """Merges only what has one verdict, before and after; the rest gets an entry of its own."""
+    def add(self, tokens: list[str], n: int = 1) -> bool:
+        """The verdict of the sentence. Merges only what has one verdict, before and after; the rest gets an entry of its own."""
         leaf, verdict = self.leaves[self.leaf(tokens)], judged(tuple(tokens))
         best, at = 0.0, None
         for entry in leaf:
@@ -144,70 +176,75 @@ class Tree:
             if merged == at[0] or judged(tuple(merged)) == verdict:
                 at[0] = merged
                 at[1] += n
-                return
+                return verdict
         leaf.append([list(tokens), n, verdict])
+        return verdict
 
-    def find(self, tokens: list[str]) -> bool:
-        """Does a template stand for these tokens?"""
-        for entry, *_ in self.leaves.get(self.leaf(tokens), ()):
-            if all(a == WILD or a == b for a, b in zip(entry, tokens)):
-                return True
-        return False
-
-
-_JOIN = "\x1f"
-
-
-def plain(template: list[str]) -> str:
-    """Template as text for the judge: words apart, Japanese and marks together."""
-    return re.sub(r"(?<![a-z0-9>]) | (?![a-z0-9<\x00(])", "", " ".join(template))
 
+def slots(text: str) -> Iterator[tuple[str, str, bool, int, int]]:
+    """(notation, name, needs a known name, start, end) of the slots that are not spoken about.
 
-def is_residue(template: list[str]) -> bool:
-    """The verdict on one template, from its fixed words only."""
-    text = plain([t for t in template if t != WILD] if sum(t == WILD for t in template) > len(template) // 2 else template)
-    shown = re.sub(re.escape(WILD), "404" if re.search(r"error|not found|gateway|unavailable|エラー", text, re.I) else "0", text)
-    return bool(MESSAGES.search(shown)) and not DESCRIBES.search(text)
-
-
-@lru_cache(maxsize=1 << 16)
-def judged(template: tuple[str, ...]) -> bool:
-    return is_residue(list(template))
-
-
-def is_filler(sentence: str) -> bool:
-    if FILLER.search(sentence) or _AGAIN.search(sentence):
-        return not DESCRIBES.search(_CODE.sub("\x00", sentence.lower()))
-    words = re.findall(r"[a-z]+", sentence.lower())
-    hits = sum(1 for w in words if w[:5] in _LOREM5 or w in _LOREM5)
-    return len(words) >= 3 and hits >= 0.7 * len(words)
-
-
-def slots(text: str) -> Iterator[tuple[str, str]]:
-    """(notation, name) of the slots that are not spoken about."""
-    for kind, pattern in SLOTS:
-        for m in pattern.finditer(text):
-            if not _QUOTED.search(text[max(0, m.start() - 16) : m.start()]):
-                yield kind, re.sub(r"[\s_]+", "_", m[1].strip().lower())
-
-
-def _mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A slot is a name between mirrored bracket runs. Runs of one sign, double
+    square brackets and double underscores occur in ordinary text and need a
+    known name, unless the bracket asks for an entry (``[insert date here]``).
+    """
+    for m in _SLOT.finditer(text):
+        opened, name, closed = m[1].rstrip(), m[2], m[3]
+        opened = opened.rstrip("#/") if opened.startswith("{{") else opened
+        circles = opened[0] in "○〇●◯"
+        if not circles and (closed[:1] != ")" or closed[1:] not in tuple("sdrif") if opened == "%(" else _MIRROR.get(opened) != closed):
+            continue
+        before = text[max(0, m.start() - 16) : m.start()]
+        if _QUOTED.search(before):
+            continue
+        asked = _ASKED.match(name) if opened in ("[", "【", "<", "{", "&lt;", "[[") else None
+        weak = opened in _WEAK and asked is None
+        if name.isdigit():
+            weak = opened not in ("{", "{{", "${") or bool(_SUM.search(before))
+            if weak:
+                continue
+        elif weak and opened == "<" and not (name.isupper() and len(name) > 2 or " " in name):
+            continue  # a tag
+        if asked:
+            name = next(g for g in asked.groups() if g)
+        yield ("circles" if circles else opened), re.sub(r"[\s_]+", "_", name.strip().lower()), weak, m.start(), m.end()
+    for m in _MARKED.finditer(text):
+        yield "marked", m[1].lower(), False, m.start(), m.end()
+
+
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One pass: marked documents as they come, this task's templates and slot names at the end."""
     tree, names = Tree(), Counter()
+    columns = ["kind", "doc_id", "text", "name", "size", "head", "n"]
     for pdf in batches:
-        for text in pdf["text"]:
+        rows = []
+        for doc, text in zip(pdf["doc_id"], pdf["text"]):
             whole = fold(text)
-            names.update(set(slots(whole)))
+            found = list(slots(whole)) if not whole.isalnum() else []
+            names.update({(kind, name) for kind, name, *_ in found})
+            if any(not weak for _, _, weak, *_ in found):
+                rows.append(("slot", doc, None, None, 0, "", 1))
+            rows += [("weak", doc, None, name, 0, "", 1) for name in {name for _, name, weak, *_ in found if weak}]
+            for *_, a, b in reversed(found):
+                whole = whole[:a] + " " + whole[b:]
+            hit = False
             for s in sentences(whole):
                 tokens = mask(s)
                 if tokens:
-                    tree.add(tokens)
-    rows = [("template", _JOIN.join(t), "", len(t), " ".join(leaf[1:]), n) for leaf, ts in tree.leaves.items() for t, n, _ in ts]
-    rows += [("slot", kind, name, 0, "", n) for (kind, name), n in names.items()]
-    yield pd.DataFrame(rows, columns=["kind", "text", "name", "size", "head", "n"])
+                    hit |= tree.add(tokens)
+            if hit:
+                rows.append(("template", doc, None, None, 0, "", 1))
+        yield pd.DataFrame(rows, columns=columns)
+    rows = [("mined", None, _JOIN.join(t), str(v), len(t), " ".join(leaf[1:]), n) for leaf, ts in tree.leaves.items() for t, n, v in ts]
+    rows += [("name", None, kind, name, 0, "", n) for (kind, name), n in names.items()]
+    yield pd.DataFrame(rows, columns=columns)
+
+
+_JOIN = "\x1f"
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Templates of whole leaves, the commonest first, to merged and judged ones."""
+    """Templates of whole leaves, the commonest first, to merged ones."""
     tree = Tree()
     for pdf in batches:
         for text, n in zip(pdf["text"], pdf["n"]):
@@ -220,44 +257,25 @@ class Residue:
     """Templates, verdicts and marked documents of one corpus."""
 
     def __init__(self, documents: DataFrame):
-        self.documents = documents.select("doc_id", "text")
         self.scratch = Scratch(documents.sparkSession, "residue")
-        mined = self.scratch.save(
-            self.documents.select("text").mapInPandas(_mine, "kind string, text string, name string, size int, head string, n long")
+        self.width = max(shuffle_width(documents.sparkSession), documents.sparkSession.sparkContext.defaultParallelism)
+        self.found = self.scratch.save(
+            documents.select("doc_id", "text").mapInPandas(_scan, "kind string, doc_id long, text string, name string, size int, head string, n long")
         )
-        local = mined.where("kind = 'template'").groupBy("text", "size", "head").agg(F.sum("n").alias("n"))
-        width = max(shuffle_width(documents.sparkSession), documents.sparkSession.sparkContext.defaultParallelism)
-        leaves = local.repartition(width, "size", "head").sortWithinPartitions(F.desc("n"), "text")  # whole leaves per task
-        self.templates = self.scratch.save(leaves.mapInPandas(_merge, "template string, n long, residue boolean"))
-        used = mined.where("kind = 'slot'").groupBy("name").agg(F.countDistinct("text").alias("kinds"))
-        self.names = {r.name for r in used.where("kinds >= 3").collect()}
-        self.bad = [r.template for r in self.templates.where("residue").select("template").collect()]
+
+    def templates(self) -> DataFrame:
+        """(template, n, residue): the message templates of the corpus, their sentences counted."""
+        local = self.found.where("kind = 'mined'").groupBy("text", "size", "head").agg(F.sum("n").alias("n"))
+        leaves = local.repartition(self.width, "size", "head").sortWithinPartitions(F.desc("n"), "text")  # whole leaves per task
+        return leaves.mapInPandas(_merge, "template string, n long, residue boolean")
 
     def reasons(self) -> DataFrame:
-        """(doc_id, reason) with reason message, filler or slot; one row per document and reason."""
-        bad, names = self.bad, self.names
-
-        def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            tree = Tree()
-            for t in bad:
-                tree.leaves[Tree.leaf(t.split(_JOIN))].append([t.split(_JOIN), 0, True])
-            for pdf in batches:
-                rows = []
-                for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                    whole = fold(text)
-                    why = set()
-                    if any(kind not in WEAK or name in names for kind, name in slots(whole)):
-                        why.add("slot")
-                    for s in sentences(whole):
-                        if is_filler(s):
-                            why.add("filler")
-                        tokens = mask(s)
-                        if tokens and tree.find(tokens) and judged(tuple(tokens)):
-                            why.add("message")
-                    rows += [(doc, w) for w in sorted(why)]
-                yield pd.DataFrame(rows, columns=["doc_id", "reason"])
-
-        return self.documents.mapInPandas(mark, "doc_id long, reason string")
+        """(doc_id, reason) with reason template or slot; one row per document and reason."""
+        used = self.found.where("kind = 'name'").groupBy("name").agg(F.countDistinct("text").alias("kinds")).where("kinds >= 3").select("name")
+        known = used.unionByName(used.sparkSession.createDataFrame([(n,) for n in samples.SLOT_NAMES], "name string")).distinct()
+        weak = self.found.where("kind = 'weak'").join(known, "name", "left_semi").select("doc_id", F.lit("slot").alias("reason"))
+        sure = self.found.where("kind in ('slot', 'template')").select("doc_id", F.col("kind").alias("reason"))
+        return sure.unionByName(weak).distinct()
 
 
 def residue_documents(documents: DataFrame) -> DataFrame:
