@@ -41,7 +41,7 @@ SHORT = (9.0, 0.6, 0.35)  # the same for no, one or two words (three Japanese ch
 
 _INVISIBLE = re.compile("[​‌‍⁠﻿­]")
 _TAG = re.compile(r"</?(?:html|head|body|title|h[1-6]|p|div|span|center|b|i|em|strong|br|hr|a|ul|li|noscript)\b[^<>]*>", re.I)
-_WRAP = re.compile(r"(?<=[a-z0-9,;°%])\n(?=[a-z0-9])(?![a-z]+ ?:)")
+_WRAP = re.compile(r"(?<=[a-z0-9,;°%])\n(?=[a-z]|[0-9]+ [a-z°%µ])(?![a-z]+ ?:)")
 _PIECE = re.compile(r"(?<=[。!?！？])\s*|(?<=[a-z0-9)]\.)\s+|\n+|\s+[–|—]\s+|　+", re.I)
 _TOKEN = re.compile(r"\x00|[0-9]+|[a-z'’_-]+|[ァ-ヶー]+|[぀-ゟ]+|[一-鿿々]+|[^\s]", re.I)
 _CODE = re.compile(r"[a-h][0-9]{2}[a-z]\s*[0-9]+/[0-9]+|[0-9][a-z][0-9]{3}[a-z]{2}[0-9]+", re.I)
@@ -77,39 +77,37 @@ def mask(sentence: str) -> list[str]:
     return [WILD if t[0].isdigit() else t for t in _TOKEN.findall(s)]
 
 
-@lru_cache(maxsize=1 << 16)
-def _grams(run: str) -> tuple[str, ...]:
+def _grams(run: str) -> list[str]:
     """Character runs of a Japanese stretch."""
     r = f"^{run}$"
-    out = {"j:" + r[i : i + n] for n in (2, 3, 4) for i in range(len(r) - n + 1)}
-    if _AGAIN.search(run):
-        out.add("#again")
-    return tuple(out)
+    out = [r[i : i + n] for n in (2, 3, 4) for i in range(len(r) - n + 1)]
+    return [*out, "#again"] if _AGAIN.search(run) else out
 
 
-def features(tokens: Sequence[str]) -> set[str]:
-    """Words, stems, pairs of neighbours, Japanese character runs, and words said three times in a row."""
-    out: set[str] = set()
+def features(tokens: Sequence[str]) -> list:
+    """Words and their stems, pairs of neighbours, Japanese character runs, and words said three times in a row."""
+    out: list = []
     run, before, same = "", "^", 1
-    for k, t in enumerate(tokens):
-        same = same + 1 if k and t == tokens[k - 1] and t[0].isalpha() else 1
-        if same >= 3:
-            out.add("#again")
-        if _CJK.match(t):
+    for t in tokens:
+        if t == before and t[0].isalpha():
+            same += 1
+            if same == 3:
+                out.append("#again")
+        else:
+            same = 1
+        if t[0] > "\u3000" and _CJK.match(t):
             run, before = run + t, "j"
             continue
         if run:
-            out.update(_grams(run))
+            out += _grams(run)
             run = ""
         if len(t) > 1 or t.isalnum() or t == "\x00":
-            out.add("w:" + t)
+            out.append(("w", t))
             if len(t) > 5:
-                out.add("p:" + t[:5])
-            out.add(f"b:{before} {t}")
+                out.append(("p", t[:5]))
+            out.append((before, t, "b"))
         before = t
-    if run:
-        out.update(_grams(run))
-    return out
+    return out + _grams(run) if run else out
 
 
 class Classifier:
@@ -121,11 +119,11 @@ class Classifier:
             raise ValueError(f"more than {SAMPLE} labelled sentences")
         place: dict[str, int] = {}
         for r in rows:
-            for f in sorted(r):
+            for f in r:
                 place.setdefault(f, len(place))
         x = np.zeros((len(rows), len(place)))
         for i, r in enumerate(rows):
-            x[i, [place[f] for f in r]] = 1 / max(4, len(r)) ** 0.5
+            np.add.at(x[i], [place[f] for f in r], 1 / max(4, len(r)) ** 0.5)
         y = np.array([1.0] * len(residue) + [-1.0] * len(ordinary))
         size = np.where(y > 0, 2 * len(residue), 2 * len(ordinary)) / len(y)  # both sides weigh the same
         dual = np.linalg.solve(x @ x.T + bias + np.diag(strength * size), y)
@@ -135,7 +133,7 @@ class Classifier:
     def score(self, tokens: Sequence[str]) -> float:
         found = features(tokens)
         get = self.weight.get
-        return sum(get(f, 0.0) for f in found) / max(4, len(found)) ** 0.5 + self.bias
+        return sum([get(f, 0.0) for f in found]) / max(4, len(found)) ** 0.5 + self.bias
 
 
 @lru_cache(maxsize=1)
