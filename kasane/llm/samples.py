@@ -108,6 +108,7 @@ Connection refused.
 Connection reset by peer.
 Connection timed out after 30 s.
 Upstream server unreachable, stream closed.
+[ab12cd] host unreachable, backend closed the stream after 8 s
 [1a2b3c] backend did not answer, upstream reset
 Query failed: select name from users where id = 5
 query : select title from items where code = '' -- retry 2
@@ -363,6 +364,10 @@ Wait 5 seconds.
 Home
 While
 Porous display panel
+Segmented light guide
+Segmented guide rail.
+Plate or
+A guide rail or plate
 Porous signal line
 Foamed test strip
 Perforated valve seat for extending service life
