@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Editions from the newest to the oldest (fixed values).
 EDITIONS = ("8U", "8B", "7", "7E", "6", "5", "4")
@@ -78,26 +80,36 @@ def island_ids(rows: DataFrame, part: Sequence[str], order: Sequence[str], value
     return rows.withColumn("__f", fresh).withColumn(name, F.sum("__f").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__f")
 
 
-def stack_parent(rows: DataFrame, part: Sequence[str], order: Sequence[str], level: str, ident: str, levels: Sequence[int] | None = None) -> DataFrame:
+def stack_parent(rows: DataFrame, part: Sequence[str], order: Sequence[str], level: str, ident: str) -> DataFrame:
     """Adds ``parent``: the nearest earlier row of the part with a smaller level.
 
-    Rows with a null level get none and are nobody's parent. ``levels`` are the
-    level values that occur (a small domain; read from the rows unless given);
-    ``ident`` must be a number or text. One window, no self join.
+    Any level counts, negative ones too. Rows with a null level get none and are
+    nobody's parent. The rule depends on all rows before, so a part is folded in
+    order in one streaming pass over sorted rows; memory holds the open levels
+    only, whatever the part's size.
     """
-    if levels is None:
-        levels = [r[0] for r in rows.select(level).where(F.col(level).isNotNull()).distinct().collect()]
-    w = Window.partitionBy(*part).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = rows.withColumn("__n", F.row_number().over(w))
-    last = [
-        F.when(F.col(level) > F.lit(v), F.last(F.when(F.col(level) == F.lit(v), F.struct("__n", ident)), ignorenulls=True).over(before))
-        for v in sorted(levels)
-    ]
-    if not last:
-        return ranked.withColumn("parent", F.lit(None).cast(rows.schema[ident].dataType)).drop("__n")
-    pick = F.greatest(*last) if len(last) > 1 else last[0]
-    return ranked.withColumn("__p", pick).withColumn("parent", F.col(f"__p.{ident}")).drop("__p", "__n")
+    kind = rows.schema[ident].dataType
+    schema = StructType([*rows.schema.fields, StructField("parent", kind)])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, stack = object(), []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in part)))
+            out = []
+            for key, depth, name in zip(keys, batch.column(level).to_pylist(), batch.column(ident).to_pylist()):
+                if key != at:
+                    at, stack = key, []
+                if depth is None:
+                    out.append(None)
+                    continue
+                while stack and stack[-1][0] >= depth:
+                    stack.pop()
+                out.append(stack[-1][1] if stack else None)
+                stack.append((depth, name))
+            column = pa.array(out, batch.schema.field(ident).type)
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "parent"])
+
+    return rows.repartition(*part).sortWithinPartitions(*part, *order).mapInArrow(fold, schema)
 
 
 def first_writer(rows: DataFrame, keys: Sequence[str], order: Sequence[str], canonical: Column | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -34,13 +35,15 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share.
 
     The cluster names it in ``spark.checkpoint.dir`` (or by an earlier
-    ``setCheckpointDir``); only where neither is set, as in tests on one
-    machine, a temporary folder is made and set.
+    ``setCheckpointDir``). Only where neither is set and all runs on one machine
+    (master ``local``), as in tests, a temporary folder is made and set.
     """
     named = spark.sparkContext.getCheckpointDir()
     if not named:
         named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="kasane-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -56,8 +59,8 @@ class Scratch:
     """Writes intermediate tables to the shared folder and reads them back.
 
     Each ``save`` runs one job, cuts the lineage, and survives the loss of any
-    executor. ``drop`` removes a table no later step reads. What a lazy result
-    still needs is removed when the driver ends.
+    executor. ``drop`` removes a table no later step reads, ``close`` all of
+    them. What a lazy result still needs is removed when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -80,6 +83,11 @@ class Scratch:
             if path:
                 _delete(self.spark, path)
 
+    def close(self) -> None:
+        """Removes all tables now; results that still read them must have been written."""
+        _delete(self.spark, self.root)
+        atexit.unregister(self._clear)
+
     def _clear(self) -> None:
         try:
             _delete(self.spark, self.root)

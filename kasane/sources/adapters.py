@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from kasane.functions import text as tx
 from kasane.operators.temporal import island_ids, stack_parent
 
-LEVELS = range(0, 64)
 CONCEPT = ("scheme", "edition", "code", "normalized_code", "concept_type", "record_status", "version", "valid_from", "valid_to", "level", "sequence_number")
 ORDER = ("stage", "file_id", "record_number", "emit")
 #: Editions by data group (fixed values).
@@ -108,7 +107,7 @@ def fi_codes(out: Emissions, rows: DataFrame) -> None:
     level = tx.to_int(_c(4))
     out.concept(r, 1, 0, "fi", "", _c(0), tx.concept_type(F.lit("fi"), tx.norm_code(_c(0)), level), level=level, seq=tx.to_int(_c(1)))
     fresh = _first(r.withColumn("key", tx.norm_code(_c(0))).withColumn("level", level).where("key <> ''"))
-    up = stack_parent(fresh.where("level is not null"), ["file_id"], ["record_number"], "level", "key", LEVELS).where("parent is not null")
+    up = stack_parent(fresh.where("level is not null"), ["file_id"], ["record_number"], "level", "key").where("parent is not null")
     out.relation(up, 1, ("fi", "", F.col("key")), ("fi", "", F.col("parent")), "parent")
     out.prop(fresh, 1, "fi", F.col("key"), "fi_marker", _c(2), None)
     out.prop(fresh, 1, "fi", F.col("key"), "fi_status", _c(3), None)
@@ -156,7 +155,7 @@ def fterms(out: Emissions, rows: DataFrame) -> None:
             out.concept(r, stage, 2, "fterm", "", F.col("key"), F.lit("term"), level=F.col("depth") + 2, seq=F.col("seq"))
             out.relation(r, stage, ("fterm", "", F.col("aspect")), ("fterm", "", F.col("theme")), "parent")
             runs = island_ids(r, ["file_id"], ["record_number"], "aspect")
-            up = stack_parent(runs, ["file_id", "island"], ["record_number"], "depth", "key", LEVELS)
+            up = stack_parent(runs, ["file_id", "island"], ["record_number"], "depth", "key")
             out.relation(up, stage, ("fterm", "", F.col("key")), ("fterm", "", F.coalesce("parent", "aspect")), "parent")
         out.text(r, stage, "fterm", "", F.col("key"), None, lang, F.lit("label"), F.lit(1), label)
         out.prop(r, stage, "fterm", F.col("key"), "fi_scope", scope, lang)
@@ -181,7 +180,7 @@ def ipc(out: Emissions, rows: DataFrame) -> None:
     r = _shaped(out, r, F.col("version").isNotNull(), "IPC_VERSION_INVALID", "version must be YYYY.MM")
     r = r.withColumn("key", tx.norm_code(F.col("code")))
     out.concept(r, 6, 0, "ipc", F.col("edition"), F.col("code"), tx.concept_type(F.lit("ipc"), F.col("key"), F.col("level")), version=F.col("version"), vfrom=tx.iso_date(F.col("f")), vto=tx.iso_date(F.col("t")), level=F.col("level"))
-    up = stack_parent(r.where("level is not null and key <> ''"), ["file_id"], ["record_number"], "level", "key", LEVELS).where("parent is not null")
+    up = stack_parent(r.where("level is not null and key <> ''"), ["file_id"], ["record_number"], "level", "key").where("parent is not null")
     out.relation(up, 6, ("ipc", F.col("edition"), F.col("key")), ("ipc", F.col("edition"), F.col("parent")), "parent")
     out.text(r, 6, "ipc", F.col("edition"), F.col("code"), F.col("version"), F.when(F.col("edition").endswith("E"), "en").otherwise("ja"), F.concat(F.lit("ipc_text_type_"), F.coalesce(tx.blank_to_null(F.col("kind")), F.lit("unknown"))), F.col("seq"), F.col("text"))
 
@@ -264,6 +263,24 @@ def amendment_index(out: Emissions, rows: DataFrame) -> None:
     out.links.append(hit.where("doc_file is not null").select(F.col("doc_file").alias("file_id"), F.lit("fi").alias("scheme"), F.lit("").alias("edition"), tx.norm_code(_c(0)).alias("normalized_code"), F.lit("fi_amendment_index").alias("kind"), "locator"))
 
 
+def definitions(out: Emissions, files: DataFrame, pages: DataFrame | None) -> None:
+    """PDF definitions: a document per file, a segment per page, linked to the newest edition of the code in the file name.
+
+    ``pages`` is None where no PDF reader is installed: every file then has an issue row.
+    """
+    pdf = files.where("file_type = 'pdf' and status = 'parsed'").withColumn("locator", F.lit("file"))
+    code = tx.file_code(F.regexp_extract("relative_path", r"([^/]*?)(?:\.[^./]*)?$", 1))
+    out.documents.append(pdf.select("file_id", F.lit("ipc_definition").alias("kind"), F.lit("ja").alias("language"), F.concat(F.lit("IPC definition "), code).alias("title")))
+    out.links.append(pdf.select("file_id", F.lit("ipc").alias("scheme"), F.lit("*").alias("edition"), code.alias("normalized_code"), F.lit("ipc_definition").alias("kind"), "locator").where("normalized_code <> ''"))
+    if pages is None:
+        out.issue(pdf, "warning", "PDF_READER_MISSING", "no PDF reader is installed; the text was not read")
+        return
+    r = pages.join(pdf.select("file_id", code.alias("code")), "file_id").withColumn("locator", F.concat(F.lit("page:"), F.col("page").cast("string")))
+    empty = F.coalesce(tx.norm_text(F.col("text")), F.lit("")) == ""
+    out.issue(r.where(empty), "warning", "PDF_EMPTY_PAGE", "a page has no text")
+    out.segments.append(r.where(~empty).select("file_id", F.col("page").alias("sequence_number"), "locator", F.concat("code", F.lit(" page "), F.col("page").cast("string")).alias("heading"), tx.norm_text(F.col("text")).alias("text")))
+
+
 CSV_STAGES = (fi_codes, themes, fterms, ipc, fi_texts, documents, fi_themes, concordance, judge, amendment_index)
 HANDLED = ("FI/FI", "FI/FI_TEXT", "FI/FI_TEXT_E", "FI/FI_HB", "FI/FI_HB_E", "FI/FI_THEME", "FI/FI_KAISEI_LINK", "FI/FI_KAISEI_DOC", "FTERM/THEME", "FTERM/THEME_E", "FTERM/FTERM", "FTERM/FTERM_E", "FTERM/FTERM_KAISETSU", "FTERM/FTERM_KAISETSU_E", "FTERM/ADD_CODE", "FTERM/ADD_CODE_E", *IPC_GROUPS, "IPC_KAISEI", "CONCORDANCE", "JUDGE", "REFERENCE/IPC_TEIGI", "COPYRGHT")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kasane.operators import publish
-from kasane.operators.temporal import conflicts, first_writer
+from kasane.operators.temporal import conflicts, first_writer, latest_edition
 from kasane.runtime import Scratch
 from kasane.sources import adapters, package
 
@@ -50,6 +50,7 @@ class Build:
             stage(out, csv_rows)
         adapters.amendments(out, xml)
         adapters.html_tables(out, html)
+        adapters.definitions(out, self.files, package.pdf_pages(spark, root, self.files))
         adapters.unhandled(out, self.files)
         self.tables = self._tables(out, csv_rows, xml, html)
 
@@ -117,7 +118,9 @@ class Build:
         document = union(out.documents).join(named, "file_id").select("document_id", F.lit(self.release_id).alias("release_id"), "kind", "language", F.coalesce(F.nullif("title", F.lit("")), "relative_path").alias("title"), F.lit(None).cast("long").alias("page_count"), F.col("file_id").alias("source_file_id"), F.lit("{}").alias("metadata_json"))
         doc = named.drop("relative_path")
         segment = _ids(union(out.segments).join(doc, "file_id"), "document_text_id", ["file_id", "sequence_number"]).select("document_text_id", "document_id", "sequence_number", "locator", "heading", "text", F.col("locator").alias("source_locator"))
-        link = union(out.links).join(doc, "file_id").join(known, KEY, "left")
+        newest = latest_edition(known.where("scheme = 'ipc'"), ["scheme", "normalized_code"]).select(*KEY).withColumnRenamed("edition", "newest")
+        stated = union(out.links).join(doc, "file_id").join(newest, ["scheme", "normalized_code"], "left")
+        link = stated.withColumn("edition", F.when(F.col("edition") == "*", F.col("newest")).otherwise(F.col("edition"))).drop("newest").join(known, KEY, "left")
         issues.append(link.where("concept_id is null").select(F.lit("warning").alias("severity"), F.lit("DOCUMENT_CONCEPT_MISSING").alias("code"), F.lit("linked concept is unknown").alias("message"), "file_id", "locator"))
         document_link = link.where("concept_id is not null").groupBy("document_id", "concept_id", "kind").agg(F.min(F.struct(F.col("file_id").alias("source_file_id"), F.col("locator").alias("source_locator"))).alias("l")).select("document_id", "concept_id", "kind", "l.*")
         amend = document.where("kind = 'ipc_amendment'").select("document_id", F.col("source_file_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import importlib.util
 import io
 import json
 import os
@@ -268,18 +269,16 @@ def html_rows(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     return _of_kind(spark, root, files, "html").mapInPandas(read, "file_id long, data_group string, title string, record_number long, kind string, cells array<string>")
 
 
-def pdf_pages(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
-    """(file_id, page, text) of non-empty pages, page numbers as in the file; needs an installed PDF reader."""
-    try:
-        import pypdf  # noqa: F401
-    except ImportError as gone:
-        raise RuntimeError("reading PDF needs the optional package pypdf") from gone
+def pdf_pages(spark: SparkSession, root: str, files: DataFrame) -> DataFrame | None:
+    """(file_id, page, text) of all pages, numbered from 1, text '' where a page has none; None without a PDF reader."""
+    if importlib.util.find_spec("pypdf") is None:
+        return None
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pypdf
 
         for pdf in batches:
-            rows = [(fid, n, t) for fid, raw in zip(pdf["file_id"], pdf["content"]) for n, p in enumerate(pypdf.PdfReader(io.BytesIO(raw)).pages, 1) if (t := (p.extract_text() or "").strip())]
+            rows = [(fid, n, p.extract_text() or "") for fid, raw in zip(pdf["file_id"], pdf["content"]) for n, p in enumerate(pypdf.PdfReader(io.BytesIO(raw)).pages, 1)]
             yield pd.DataFrame(rows, columns=["file_id", "page", "text"])
 
     return _of_kind(spark, root, files, "pdf").mapInPandas(read, "file_id long, page long, text string")

@@ -28,6 +28,7 @@ FILES = {
     ),
     "IPC/IPC8B_TEXT/ipc8B_B_20260101.csv": rows("B01D10/00,x,1,1,5,,,,基礎の題"),
     "IPC_KAISEI/Kaisei.html": "<html><head><title>改正表</title></head><table><tr><th>旧<th>版<th>新<th>版</tr><tr><td colspan=4>B部</td></tr><tr><td>B01D 10/00</td><td>(2006.01)</td><td>B01D 10/00</td><td>(2016.01)</td></tr><tr><td>B01D 10/00</td><td>(1999.01)</td><td>B01D 10/02</td><td>(2006.01)</td></tr><tr><td></td></tr></table></html>",
+    "REFERENCE/IPC_TEIGI/B01D_10-00.pdf": "%PDF-1.4 stub",
     "CONCORDANCE/con_20260101.csv": rows("1,B01D10/00,8,B01D10/00", "1,B01D77/00,4,B01D9/00"),
     "JUDGE/judge_20260101.csv": rows("A,一致"),
 }

@@ -52,6 +52,10 @@ def test_bad_files_stay_visible(spark, tmp_path):
         package.reject_links(str(tmp_path))
 
 
+def ids_of(store, scheme, edition, code):
+    return store.t["concept"].where(f"scheme = '{scheme}' and edition = '{edition}' and normalized_code = '{code}'").first().concept_id
+
+
 def test_tables(store):
     concepts = {(r.scheme, r.edition, r.normalized_code): r for r in store.t["concept"].collect()}
     assert concepts["fi", "", "B01D8/00"].record_status == "reference_only"
@@ -69,6 +73,9 @@ def test_tables(store):
     assert {"FI_COLUMN_COUNT", "REVISION_CONFLICT", "IPC_SEQUENCE_INVALID", "IPC_AMENDMENT_ENDPOINT_UNRESOLVED", "THEME_TRANSLATION_CONCEPT_MISSING", "THEME_TRANSLATION_SEQUENCE_MISMATCH",
             "FTERM_TRANSLATION_SEQUENCE_MISMATCH", "FTERM_TRANSLATION_DEPTH_MISMATCH", "TEXT_CONCEPT_MISSING", "RELATION_UNRESOLVED"} <= issues
     assert store.t["revision_relation"].count() == 1
+    ipc = ids_of(store, "ipc", "8U", "B01D10/00")
+    assert [(r.kind, r.concept_id) for r in store.t["document_link"].where("kind = 'ipc_definition'").collect()] == [("ipc_definition", ipc)]
+    assert "PDF_READER_MISSING" in issues or store.t["document_text"].where("locator = 'page:1'").count() == 1
     assert store.t["source_file"].where("relative_path like '%Kaisei.html'").first().record_count == 5
 
 
@@ -179,3 +186,42 @@ def test_policy(tmp_path):
     path.write_text(yaml.safe_dump(good))
     with pytest.raises(export.ExportError):
         export.load_policy(str(path), "R")
+
+
+def test_stack_parent_at_any_level(spark):
+    from kasane.operators.temporal import stack_parent
+
+    rows = [(1, k, v, 10 + k) for k, v in enumerate([5, 70, 71, None, 70, -2, -1, -2, 1000])] + [(2, 0, 3, 50), (None, 1, 4, 60), (None, 2, 5, 61)]
+    df = spark.createDataFrame(rows, "part long, n int, level int, id long").withColumnRenamed("part", "f")
+    got = {r.id: r.parent for r in stack_parent(df, ["f"], ["n"], "level", "id").collect()}
+    assert got == {10: None, 11: 10, 12: 11, 13: None, 14: 10, 15: None, 16: 15, 17: None, 18: 17, 50: None, 60: None, 61: 60}
+    assert stack_parent(df.limit(0), ["f"], ["n"], "level", "id").count() == 0
+
+
+def test_queries_without_an_optional_package(tmp_path):
+    """The core queries load where a package of the text operators is missing."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['tiktoken'] = None; sys.modules['kasane.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p1_found' in q and 'p7_found' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_no_local_scratch_on_a_cluster():
+    from kasane import runtime
+
+    class Context:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError):
+        runtime.shared_folder(Session)
