@@ -1,9 +1,9 @@
 """Mixing sources to target weights (subset-sum budget fitting).
 
 Per source the distinct texts are counted by exact token length. Whole passes
-over the source come first; of the rest of its budget the same fraction of each
-length is taken, then a bounded-knapsack over the length counts fits what is
-left to the token. Documents of a length are picked in the order of a seeded
+over the source come first; a bounded knapsack over the length counts fits the
+rest of its budget to the greatest reachable sum (large budgets: after the same
+fraction of each length). Documents of a length are picked in the order of a seeded
 hash. Only length histograms enter the fitting (one group per source, its size
 bounded by the longest text); documents are ranked within hash buckets, so a
 source with any share of the rows is spread.
@@ -12,9 +12,11 @@ source with any share of the rows is spread.
 from __future__ import annotations
 
 import base64
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,11 +69,14 @@ def blocks(text: str, size: int = 50_000) -> Iterator[str]:
     yield text[at:]
 
 
-def fit(counts: dict[int, int], budget: int, window: int = 16) -> dict[int, int]:
-    """How many texts of each length to take so that the sum comes as near to budget as it can, never above.
+def fit(counts: dict[int, int], budget: int, whole: int = 1 << 18) -> dict[int, int]:
+    """How many texts of each length to take so that the sum is the greatest reachable one up to budget.
 
-    The same fraction of each length, then largest first, then a bounded
-    knapsack over the last ``window`` longest lengths' worth of tokens.
+    Up to ``whole`` tokens the knapsack runs over the whole budget. Above, the
+    same fraction of each length is taken first and the knapsack fits a window
+    of the rest; the window doubles until the sum meets the bound (budget
+    rounded down to a multiple of the lengths' common divisor, which no sum can
+    exceed) or covers the whole budget. Either way no sum is nearer.
     """
     counts = {n: c for n, c in counts.items() if n > 0 and c > 0}
     total = sum(n * c for n, c in counts.items())
@@ -79,46 +84,56 @@ def fit(counts: dict[int, int], budget: int, window: int = 16) -> dict[int, int]
         return dict(counts)
     if budget <= 0 or not counts:
         return {}
-    take = {n: budget * c // total for n, c in counts.items()}
-    rest = budget - sum(n * k for n, k in take.items())
-    for n in sorted(counts, reverse=True):
-        more = min(counts[n] - take[n], rest // n)
-        take[n] += more
-        rest -= more * n
-    room = window * max(counts)
-    for n in sorted(counts):  # give some back so that the knapsack has a choice
-        if rest >= room:
-            break
-        if take[n]:
-            take[n] -= 1
-            rest += n
-    chosen = knapsack({n: counts[n] - take[n] for n in counts}, rest)
-    for n, k in chosen.items():
-        take[n] += k
-    return {n: k for n, k in take.items() if k}
+    unit = math.gcd(*counts)
+    bound = budget - budget % unit
+    window = max(whole, 4 * max(counts))
+    while window < budget:
+        take, rest = _leave(counts, bound, total, window)
+        chosen = knapsack({n: counts[n] - take[n] for n in counts}, rest)
+        if sum(n * k for n, k in chosen.items()) == rest:
+            return {n: k for n in counts if (k := take[n] + chosen.get(n, 0))}
+        window *= 2
+    return knapsack(counts, bound)
+
+
+def _leave(counts: dict[int, int], budget: int, total: int, window: int) -> tuple[dict[int, int], int]:
+    """The same fraction of each length, so that about ``window`` tokens are left to fit, and what is left."""
+    aim = budget - window
+    take = {n: max(0, aim) * c // total for n, c in counts.items()}
+    return take, budget - sum(n * k for n, k in take.items())
 
 
 def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """Bounded subset sum: counts per length whose sum is the greatest reachable one up to budget."""
+    """Bounded subset sum: counts per length whose sum is the greatest reachable one up to budget.
+
+    Reachable sums are the bits of one integer. Each sum remembers the stage
+    that first reached it, so one small array is enough to read the choice back.
+    """
     full = (1 << (budget + 1)) - 1
     reach, stages = 1, []
+    first = np.zeros(budget + 1, np.int32)
     for n in sorted(counts, reverse=True):
         c = min(counts[n], budget // n) if n <= budget else 0
         part = 1
         while c > 0:
             k = min(part, c)
-            stages.append((n, k, reach))
-            reach |= (reach << (n * k)) & full
+            wide = (reach | (reach << (n * k))) & full
+            fresh = wide & ~reach
+            stages.append((n, k))
+            if fresh:
+                bits = np.unpackbits(np.frombuffer(fresh.to_bytes(budget // 8 + 1, "little"), np.uint8), bitorder="little")
+                first[np.flatnonzero(bits)] = len(stages)
+            reach = wide
             c -= k
             part *= 2
         if reach >> budget & 1:
             break
     left = reach.bit_length() - 1
     out: dict[int, int] = {}
-    for n, k, before in reversed(stages):
-        if not before >> left & 1:
-            out[n] = out.get(n, 0) + k
-            left -= n * k
+    while left:
+        n, k = stages[first[left] - 1]
+        out[n] = out.get(n, 0) + k
+        left -= n * k
     return out
 
 
@@ -152,7 +167,7 @@ class Mixture:
             .groupBy("source")
             .agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").cast("long").alias("max_repeats"))
         )
-        counted = with_tokens(documents, tokenizer).join(F.broadcast(self.targets.select("source")), "source").where("n_tokens > 0")
+        counted = with_tokens(documents, tokenizer).join(self.targets.select("source"), "source").where("n_tokens > 0")
         self.texts = self.scratch.save(
             counted.groupBy("digest")
             .agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("t"))
@@ -162,7 +177,7 @@ class Mixture:
         self.shares = self._budgets(total)
         lengths = self.texts.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n"))
         self.plan = self.scratch.save(
-            lengths.join(F.broadcast(self.shares), "source")
+            lengths.join(self.shares, "source")
             .groupBy("source")
             .applyInPandas(_plan, "source string, n_tokens long, passes long, extra long")
         )

@@ -21,14 +21,26 @@ def test_knapsack_is_exact(counts, budget):
     assert sum(n * k for n, k in out.items()) == reachable(counts, budget)
 
 
-@given(st.dictionaries(st.integers(1, 60), st.integers(1, 50), min_size=1, max_size=20), st.integers(0, 5000))
-@settings(max_examples=150, deadline=None)
-def test_fit_stays_within(counts, budget):
-    out = mixing.fit(counts, budget)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 50), min_size=1, max_size=20), st.integers(0, 5000), st.sampled_from([1, 64, 1 << 18]))
+@settings(max_examples=300, deadline=None)
+def test_fit_is_the_best_sum(counts, budget, whole):
+    out = mixing.fit(counts, budget, whole)
     got = sum(n * k for n, k in out.items())
     assert all(0 < k <= counts[n] for n, k in out.items()) and got <= budget
-    whole = sum(n * c for n, c in counts.items())
-    assert got >= min(budget, whole) - max(counts)
+    total = sum(n * c for n, c in counts.items())
+    sums = 1
+    for n, c in counts.items():
+        for _ in range(c):
+            sums |= sums << n
+    assert got == (total if budget >= total else (sums & ((1 << (budget + 1)) - 1)).bit_length() - 1)
+
+
+def test_fit_of_large_and_awkward_budgets():
+    big = {n: 1000 + n for n in range(20, 900)}
+    assert sum(n * k for n, k in mixing.fit(big, 123_456_789).items()) == 123_456_789
+    even = {n: 500 for n in range(20, 400, 2)}
+    assert sum(n * k for n, k in mixing.fit(even, 10_000_001).items()) == 10_000_000
+    assert sum(n * k for n, k in mixing.fit({300_001: 40, 7: 1}, 900_000).items()) == 600_009
 
 
 def table(spark):
