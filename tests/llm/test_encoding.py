@@ -56,7 +56,7 @@ def test_no_payload_and_empty(spark):
 def test_alignment_names_the_reading(right, wrong):
     clean = "A47J1/00 の濾過器の駆動軸を冷却し 12 mm に保つ"
     data = clean.encode(right)
-    if wrong in encoding._SINGLE or right == "utf-8":
+    if encoding.reader(wrong).single or right == "utf-8":
         made = encoding.reader(wrong).read(data)
         found = encoding.explain(clean, made)
         assert found is not None and encoding.reader(found[1]).read(clean.encode(found[0])) == made
@@ -64,3 +64,34 @@ def test_alignment_names_the_reading(right, wrong):
 
 def test_escapes():
     assert encoding.unescape("\\u6fc3x") == "濃x" and encoding.unescape("plain") == "plain"
+
+
+@pytest.mark.parametrize("right,wrong", [("utf-8", "cp850"), ("cp932", "cp866"), ("iso2022_jp", "latin-1"), ("utf-16-le", "latin-1"), ("euc_jp", "mac_cyrillic")])
+def test_any_reading_of_the_runtime(spark, right, wrong):
+    """Readings no list names are learned from twins and undone, seven-bit text without its escapes too."""
+    rows, bad = [], {}
+    for copy in range(6):
+        for i in range(20):
+            text = CLEAN[i % 3] + CLEAN[(i * 7) % 3]
+            if copy == 5 and i % 2:
+                made = encoding.reader(wrong).read(text.encode(right))
+                bad[copy, i], text = text, made.replace("\x1b", "") if i % 4 == 1 else made
+            rows.append((copy, i, payload(i, text), "clash"))
+    made = encoding.Garbled(spark.createDataFrame(rows, SCHEMA))
+    got = {(r.file_id, r.record_number): r.restored for r in made.values().collect()}
+    assert set(got) == set(bad) and sum(got[k] == bad[k] for k in bad) >= 0.9 * len(bad)
+
+
+def test_unknown_table_is_learned(spark):
+    """A codec the runtime does not have: its byte table is learned from aligned characters."""
+    table = {b: chr(0x2500 + (b * 37) % 128) for b in range(128, 256)}
+    rows, bad = [], {}
+    for copy in range(6):
+        for i in range(40):
+            text = CLEAN[i % 3] + CLEAN[(i * 7) % 3] + CLEAN[(i // 3) % 3]
+            if copy == 5 and i % 2:
+                bad[copy, i], text = text, "".join(table.get(b, chr(b)) for b in text.encode("utf-8"))
+            rows.append((copy, i, payload(i, text), "clash"))
+    made = encoding.Garbled(spark.createDataFrame(rows, SCHEMA))
+    got = {(r.file_id, r.record_number): r.restored for r in made.values().collect()}
+    assert set(got) == set(bad) and sum(got[k] == bad[k] for k in bad) >= 0.9 * len(bad)
