@@ -69,7 +69,7 @@ def blocks(text: str, size: int = 50_000) -> Iterator[str]:
     yield text[at:]
 
 
-def fit(counts: dict[int, int], budget: int, whole: int = 1 << 18) -> dict[int, int]:
+def fit(counts: dict[int, int], budget: int, whole: int = 1 << 16) -> dict[int, int]:
     """How many texts of each length to take so that the sum is the greatest reachable one up to budget.
 
     Up to ``whole`` tokens the knapsack runs over the whole budget. Above, the
