@@ -62,6 +62,10 @@ def _p3_found(spark, d):
     return drift.field_changes(table(spark, d, "source_record"), table(spark, d, "source_file"))
 
 
+def _p3_schema(spark, d):
+    return drift.Drift(table(spark, d, "source_record"), table(spark, d, "source_file")).schema()
+
+
 def _p3_unified(spark, d):
     return drift.unified_rows(table(spark, d, "source_record"), table(spark, d, "source_file"))
 
@@ -79,6 +83,7 @@ def _p6_loaded(spark, d):
 QUERIES = {
     "p3_found": _p3_found,
     "p3_unified": _p3_unified,
+    "p3_schema": _p3_schema,
     "p6_found": _p6_found,
     "p6_loaded": _p6_loaded,
     "p1_found": _p1_found,
