@@ -102,7 +102,7 @@ def sitemap_xml(urls: DataFrame, url: str = "url", shard: int = 45_000) -> DataF
     return grouped.select("shard", F.concat(F.lit(head), body, F.lit("</urlset>")).alias("content"))
 
 
-def table_digest(rows: DataFrame, cols: Sequence[str], buckets: int = 256) -> DataFrame:
+def table_digest(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(digest, n): hash of ordered bucket hashes, each over its sorted row hashes; equal tables give equal digests."""
     row = F.sha2(canonical_json(**{c: F.col(c) for c in cols}), 256)
     per = (

@@ -222,3 +222,52 @@ FROM ended""",
 QUALIFY count(*) OVER (PARTITION BY scheme, edition, normalized_code) > 1""",
     "p4_periods": _PERIODS + "SELECT * FROM periods",
 }
+
+
+# -- rows that fail to parse ---------------------------------------------------
+_FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _cell(i: int) -> str:
+    return f"regexp_replace(coalesce(cells[{i + 1}], ''), '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+def _day(i: int) -> str:
+    return f"try_strptime(CASE WHEN regexp_full_match({_cell(i)}, '[0-9]{{8}}') THEN {_cell(i)} END, '%Y%m%d')"
+
+
+def _whole(*at: int) -> str:
+    return " AND ".join(f"regexp_full_match({_cell(i)}, '0*[1-9][0-9]*')" for i in at)
+
+
+_CHECKED = rf"""
+WITH rows AS (
+  SELECT file_id, line_number, lower(regexp_replace(coalesce(data_group, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g')) AS g,
+         regexp_replace(coalesce(raw_line, ''), '^\x{{feff}}|\r$', '', 'g') AS line
+  FROM raw_record JOIN source_file USING (file_id) WHERE lower(trim(parser)) = 'python-csv'),
+cut AS (
+  SELECT *, regexp_full_match(line, '{_FIELD}(?:,{_FIELD})*') AS quoted,
+    list_transform(regexp_extract_all(',' || line, ',({_FIELD})', 1),
+      lambda c: CASE WHEN starts_with(c, '"') THEN replace(c[2:length(c) - 1], '""', '"') ELSE c END) AS cells
+  FROM rows),
+tested AS (
+  SELECT *, len(cells) AS n,
+    CASE g WHEN 'fi/fi' THEN len(cells) = 5 WHEN 'fi/fi_text' THEN len(cells) = 7 WHEN 'fi/fi_hb' THEN len(cells) = 5 WHEN 'ipc/ipc8u_text' THEN len(cells) = 11
+      WHEN 'concordance' THEN len(cells) = 4 WHEN 'fterm/fterm' THEN len(cells) >= 5 WHEN 'fi/fi_kaisei_link' THEN len(cells) >= 2 ELSE true END AS count_ok,
+    CASE g
+      WHEN 'fi/fi' THEN {_cell(0)} <> '' AND {_whole(1)} AND regexp_full_match({_cell(4)}, '[0-9]+')
+      WHEN 'fi/fi_text' THEN {_cell(0)} <> '' AND {_whole(1, 2)}
+      WHEN 'fi/fi_hb' THEN {_cell(0)} <> '' AND {_whole(1)}
+      WHEN 'ipc/ipc8u_text' THEN {_cell(0)} <> '' AND regexp_full_match({_cell(1)}, '\([0-9]{{4}}\.(0[1-9]|1[0-2])\)') AND {_whole(2, 3)} AND regexp_full_match({_cell(4)}, '[0-9]+')
+        AND coalesce({_day(7)} <= {_day(8)}, false)
+      WHEN 'concordance' THEN {_cell(1)} <> '' AND {_cell(3)} <> '' AND {_cell(0)} IN ('1', '4', '5', '6', '7', '8') AND {_cell(2)} IN ('1', '4', '5', '6', '7', '8')
+      WHEN 'fterm/fterm' THEN {_cell(0)} <> '' AND {_whole(1)} AND regexp_full_match({_cell(2)}, '[0-9]+')
+      WHEN 'fi/fi_kaisei_link' THEN {_cell(0)} <> ''
+      ELSE true END AS value_ok
+  FROM cut)
+"""
+SQL["p6_found"] = _CHECKED + """
+SELECT file_id, line_number, CASE WHEN NOT quoted THEN 'quoting' WHEN NOT count_ok THEN 'column_count' ELSE 'value' END AS reason
+FROM tested WHERE NOT (quoted AND count_ok AND value_ok)"""
+SQL["p6_loaded"] = _CHECKED + "SELECT file_id, line_number, g AS data_group, cells FROM tested WHERE quoted AND count_ok AND value_ok"

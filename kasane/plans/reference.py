@@ -411,9 +411,11 @@ def _intersect(spark, d):
     return table(spark, d, "documents").select("group_key").intersect(table(spark, d, "concept").select(tx.group_key(F.col("scheme"), F.col("normalized_code")).alias("group_key")))
 
 
-@query("fk_orphans", "SELECT revision_relation_id, from_revision_id FROM revision_relation WHERE from_revision_id IS NOT NULL AND from_revision_id NOT IN (SELECT revision_id FROM concept_revision)")
+@query("fk_orphans", "SELECT revision_relation_id, 'from' AS side, from_revision_id AS revision_id FROM revision_relation WHERE from_revision_id IS NOT NULL AND from_revision_id NOT IN (SELECT revision_id FROM concept_revision) UNION ALL SELECT revision_relation_id, 'to', to_revision_id FROM revision_relation WHERE to_revision_id IS NOT NULL AND to_revision_id NOT IN (SELECT revision_id FROM concept_revision)")
 def _orphans(spark, d):
-    return quality.orphans(table(spark, d, "revision_relation"), "from_revision_id", table(spark, d, "concept_revision"), "revision_id").select("revision_relation_id", "from_revision_id")
+    links, nodes = table(spark, d, "revision_relation"), table(spark, d, "concept_revision")
+    ends = [quality.orphans(links, f"{s}_revision_id", nodes, "revision_id").select("revision_relation_id", F.lit(s).alias("side"), F.col(f"{s}_revision_id").alias("revision_id")) for s in ("from", "to")]
+    return ends[0].unionByName(ends[1])
 
 
 @query("record_count_check", """
@@ -423,7 +425,26 @@ def _rcount(spark, d):
     return quality.record_counts(table(spark, d, "source_file"), [table(spark, d, "source_record"), table(spark, d, "raw_record")])
 
 
-@query("store_checks")
+_RULES = (
+    ("concept.source_file", "FROM concept WHERE source_file_id IS NOT NULL AND source_file_id NOT IN (SELECT file_id FROM source_file)"),
+    ("concept.release", "FROM concept WHERE release_id IS NOT NULL AND release_id NOT IN (SELECT release_id FROM pmgs_release)"),
+    ("concept_revision.concept", "FROM concept_revision WHERE concept_id IS NOT NULL AND concept_id NOT IN (SELECT concept_id FROM concept)"),
+    ("revision_relation.from", "FROM revision_relation WHERE from_revision_id IS NOT NULL AND from_revision_id NOT IN (SELECT revision_id FROM concept_revision)"),
+    ("revision_relation.to", "FROM revision_relation WHERE to_revision_id IS NOT NULL AND to_revision_id NOT IN (SELECT revision_id FROM concept_revision)"),
+    ("revision_relation.self", "FROM revision_relation WHERE from_revision_id = to_revision_id"),
+    ("source_file.record_count", "FROM source_file LEFT JOIN (SELECT file_id, count(*) AS n FROM (SELECT file_id FROM source_record UNION ALL SELECT file_id FROM raw_record) GROUP BY 1) USING (file_id) WHERE record_count <> coalesce(n, 0)"),
+    ("concept.key", "FROM (SELECT 1 FROM concept GROUP BY scheme, edition, normalized_code HAVING count(*) > 1)"),
+    ("concept_revision.key", "FROM (SELECT 1 FROM concept_revision GROUP BY concept_id, version_indicator HAVING count(*) > 1)"),
+    ("concept_revision.order", "FROM concept_revision WHERE valid_from > valid_to"),
+    ("concept_revision.base", "FROM concept WHERE NOT (scheme = 'ipc' AND edition = '8U') AND concept_id NOT IN (SELECT concept_id FROM concept_revision WHERE version_indicator = '')"),
+    ("ipc.sequence", "FROM concept_revision JOIN concept USING (concept_id) WHERE sequence_number IS NOT NULL AND scheme = 'ipc'"),
+    ("concept.lineage", "FROM concept WHERE source_file_id IS NULL OR trim(coalesce(source_locator, '')) = ''"),
+    ("concept_revision.lineage", "FROM concept_revision WHERE source_file_id IS NULL OR trim(coalesce(source_locator, '')) = ''"),
+    ("revision_relation.lineage", "FROM revision_relation WHERE source_file_id IS NULL OR trim(coalesce(source_locator, '')) = ''"),
+)
+
+
+@query("store_checks", " UNION ALL ".join(f"SELECT '{name}' AS name, 0::BIGINT AS expected, count(*) AS actual, count(*) = 0 AS match {rows}" for name, rows in _RULES))
 def _checks(spark, d):
     names = {"release": "pmgs_release"} | {n: n for n in ("source_file", "source_record", "raw_record", "concept", "concept_revision", "revision_relation")}
     return quality.store_checks({k: table(spark, d, v) for k, v in names.items()})
@@ -474,12 +495,18 @@ def _sitemap(spark, d):
     return publish.sitemap(table(spark, d, "source_file").select(F.col("relative_path").alias("url")), shard=50)
 
 
-@query("table_digest")
+@query("table_digest", """
+WITH r AS (SELECT sha256('{"concept_id":' || concept_id || ',"edition":' || coalesce(to_json(edition)::VARCHAR, 'null') || ',"normalized_code":' || coalesce(to_json(normalized_code)::VARCHAR, 'null')
+  || ',"record_status":' || coalesce(to_json(record_status)::VARCHAR, 'null') || ',"scheme":' || coalesce(to_json(scheme)::VARCHAR, 'null') || '}') AS r FROM concept),
+b AS (SELECT left(r, 4) AS b, sha256(string_agg(r, '' ORDER BY r)) AS h, count(*) AS k FROM r GROUP BY 1)
+SELECT upper(sha256(string_agg(h, '' ORDER BY b))) AS digest, CAST(sum(k) AS BIGINT) AS n FROM b""")
 def _digest(spark, d):
     return publish.table_digest(table(spark, d, "concept"), ["concept_id", "scheme", "edition", "normalized_code", "record_status"])
 
 
-@query("manifest_digest")
+@query("manifest_digest", """
+SELECT release_id, upper(sha256(string_agg('{"relative_path":' || to_json(relative_path)::VARCHAR || ',"sha256":' || to_json(sha256)::VARCHAR || ',"size_bytes":' || size_bytes || '}', chr(10) ORDER BY relative_path) || chr(10))) AS digest
+FROM source_file GROUP BY release_id""")
 def _mdigest(spark, d):
     return publish.manifest_digest(table(spark, d, "source_file"))
 
