@@ -2,20 +2,43 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kasane.errors import QueryError
 from kasane.functions import text as tx
+from kasane.operators import records as rec
 from kasane.operators import search as se
-from kasane.operators.edges import INVERSE
-from kasane.operators.temporal import EDITIONS, active_at
+from kasane.operators.temporal import EDITIONS
 from kasane.sources.build import TABLES, resolve
 
 SCHEMES, LANGUAGES = ("fi", "fterm", "ipc"), ("ja", "en")
 PAGE, RELATIONS, SEGMENTS = 100, 200, 200
+CONTENT = ("classification", "document")
+MOST_BYTES = 4 * 1024 * 1024
+
+
+def _version(version: str | None, scheme: str) -> str | None:
+    if version is None:
+        return None
+    if scheme.strip().lower() != "ipc":
+        raise QueryError("INVALID_VERSION", "only ipc has versions")
+    v = version.strip()
+    v = v[1:-1].strip() if v.startswith("(") and v.endswith(")") else v
+    if not re.fullmatch(r"[0-9]{4}\.(0[1-9]|1[0-2])", v):
+        raise QueryError("INVALID_VERSION", "a version is YYYY.MM")
+    return v
+
+
+def _bounded(answer: dict) -> dict:
+    """The answer, unless its JSON takes more bytes than a response may have."""
+    if len(json.dumps(answer, ensure_ascii=False, default=str, separators=(",", ":")).encode()) > MOST_BYTES:
+        raise QueryError("RESPONSE_TOO_LARGE", f"more than {MOST_BYTES} bytes")
+    return answer
 
 
 def _one_of(value: str, allowed: tuple[str, ...], code: str) -> str:
@@ -50,7 +73,7 @@ class Store:
         docs = self.t["document"].groupBy("kind", "language").count().orderBy("kind", "language").collect()
         return info | {"concepts": [r.asDict() for r in kinds], "documents": [r.asDict() for r in docs], "attribution": self.t["release_source"].first().attribution}
 
-    def _concept(self, release: dict, scheme: str, code: str, edition: str | None) -> tuple[str, str, dict | None]:
+    def _concept(self, release: dict, scheme: str, code: str, edition: str | None) -> tuple[str, str, DataFrame | None]:
         s = _one_of(scheme, SCHEMES, "INVALID_SCHEME")
         n = "".join((code or "").split()).upper()
         if not 1 <= len(n) <= 128:
@@ -67,159 +90,144 @@ class Store:
                     raise QueryError("INVALID_EDITION", e)
             else:
                 e = next((x for x in EDITIONS if x in have), max(have, default=""))
-        row = c.where((F.col("edition") == e) & (F.col("normalized_code") == n)).first()
-        return n, e, row and row.asDict()
-
-    def _revision(self, concept: dict, date: str, version: str | None) -> tuple[dict | None, list[dict], str]:
-        rows = [r.asDict() for r in self.t["concept_revision"].where(F.col("concept_id") == concept["concept_id"]).orderBy("version_indicator", "valid_from", "revision_id").collect()]
-        if version is not None:
-            v = version.strip().strip("()")
-            hit = [r for r in rows if r["version_indicator"] == v]
-            return (hit[0], rows, "exact") if hit else (None, rows, "version_not_found")
-        live = [r for r in rows if (r["valid_from"] is None or r["valid_from"] <= date) and (r["valid_to"] is None or r["valid_to"] >= date)]
-        if len(live) > 1:
-            raise QueryError("MULTIPLE_ACTIVE_REVISIONS", concept["normalized_code"])
-        if live:
-            return live[0], rows, "exact"
-        if concept["scheme"] != "ipc" and len(rows) == 1:
-            return rows[0], rows, "exact"
-        return None, rows, "not_valid_at_release"
-
-    # -- relations --------------------------------------------------------
-    def relations(self, concept_id: int, revision_id: int | None) -> DataFrame:
-        """Relations of a concept and its revision from both ends, each with its least lineage."""
-        c = self.t["concept"].select("concept_id", "scheme", "edition", "code", "normalized_code")
-        r = self.t["relation"]
-        other = F.col("kind")
-        for a, b in INVERSE.items():
-            other = F.when(F.col("kind") == a, b).otherwise(other)
-        lineage = ["source_file_id", "source_locator"]
-        out = r.where(F.col("from_concept_id") == concept_id).select(F.col("to_concept_id").alias("concept_id"), F.col("kind").alias("type"), F.lit("").alias("version"), *lineage)
-        back = r.where(F.col("to_concept_id") == concept_id).select(F.col("from_concept_id").alias("concept_id"), other.alias("type"), F.lit("").alias("version"), *lineage)
-        frames = out.unionByName(back)
-        if revision_id is not None:
-            rr = self.t["revision_relation"]
-            rev = self.t["concept_revision"].select("revision_id", "concept_id", F.col("version_indicator").alias("version"))
-            to = rr.where(F.col("from_revision_id") == revision_id).select(F.col("to_revision_id").alias("revision_id"), F.col("kind").alias("type"), *lineage)
-            fro = rr.where(F.col("to_revision_id") == revision_id).select(F.col("from_revision_id").alias("revision_id"), other.alias("type"), *lineage)
-            frames = frames.unionByName(to.unionByName(fro).join(rev, "revision_id").select("concept_id", "type", "version", *lineage))
-        seen = frames.join(c, "concept_id")
-        w = Window.partitionBy("type", "scheme", "edition", "normalized_code", "version").orderBy(*lineage)
-        return seen.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n").orderBy("type", "scheme", "edition", "normalized_code", "version")
+        row = c.where((F.col("edition") == e) & (F.col("normalized_code") == n))
+        return n, e, None if row.isEmpty() else row
 
     # -- public queries ---------------------------------------------------
     def lookup(self, scheme: str, code: str, release: str = "current", edition: str | None = None, language: str = "ja", *, version: str | None = None, relation_limit: int = 50, relation_offset: int = 0) -> dict:
         """The exact record, or an empty one with the reason."""
         lang = _one_of(language, LANGUAGES, "INVALID_LANGUAGE")
-        se.check_page(relation_limit, relation_offset, RELATIONS)
+        if not 1 <= relation_limit <= RELATIONS:
+            raise QueryError("INVALID_RELATION_LIMIT", f"relation_limit is 1 to {RELATIONS}")
+        if relation_offset < 0:
+            raise QueryError("INVALID_RELATION_OFFSET", "relation_offset is not negative")
+        wanted = _version(version, scheme)
         rel = self.release(release)
         n, e, concept = self._concept(rel, scheme, code, edition)
-        empty = {"scheme": scheme.strip().lower(), "edition": e or None, "normalized_code": n, "match_status": "not_found", "available_versions": [], "labels": [], "texts": [], "properties": [], "relations": [], "documents": []}
+        record = {
+            "schema_version": rel["schema_version"], "release_id": rel["release_id"], "reference_date": rel["reference_date"],
+            "scheme": scheme.strip().lower(), "edition": e or None, "code": n, "normalized_code": n, "concept_type": None, "record_status": None, "match_status": "not_found",
+            "version": None, "valid_from": None, "valid_to": None, "level": None, "available_versions": [], "labels": [], "texts": [], "properties": [],
+            "relation_count": 0, "relation_offset": relation_offset, "relation_limit": relation_limit, "relations_truncated": False, "next_relation_offset": None,
+            "relations": [], "documents": [], "sources": [], "canonical_url": None,
+        }
         if concept is None:
-            return empty
-        revision, all_revisions, status = self._revision(concept, rel["reference_date"], version)
-        versions = [{"version": r["version_indicator"] or None, "valid_from": r["valid_from"], "valid_to": r["valid_to"]} for r in all_revisions]
-        base = empty | {"code": concept["code"], "concept_type": concept["concept_type"], "record_status": concept["record_status"], "available_versions": versions}
-        if revision is None:
-            return base | {"match_status": status}
-        rid = revision["revision_id"]
-        texts = self.t["concept_text"].where((F.col("revision_id") == rid) & (F.col("language") == lang)).orderBy("kind", "sequence_number", "text_id")
-        props = self.t["concept_property"].where((F.col("revision_id") == rid) & (F.col("language").isNull() | (F.col("language") == lang))).orderBy("name", "property_id")
-        relations = self.relations(concept["concept_id"], rid)
+            return _bounded(record)
+        head = rec.heads(self.t, concept, rel["reference_date"], wanted)
+        top = head.first().asDict(recursive=True)
+        if top["match_status"] == "ambiguous":
+            raise QueryError("MULTIPLE_ACTIVE_REVISIONS", n)
+        for v in top["available_versions"] or []:
+            record["available_versions"].append(v | {"version": v["version"] or None})
+        record |= {"concept_type": top["concept_type"], "record_status": top["record_status"], "match_status": top["match_status"] if top["revision_id"] is None or code == n else "normalized_exact"}
+        if top["revision_id"] is None:
+            return _bounded(record)
+        record |= {k: top[k] for k in ("version", "valid_from", "valid_to", "level")}
+        texts, linked, props = rec.texts(self.t, head, lang), rec.linked_texts(self.t, head, lang), rec.properties(self.t, head, lang)
+        relations, documents = rec.relations(self.t, head), rec.documents(self.t, head)
+        files = {r.file_id: r.source_id for r in self.t["source_file"].select("file_id", "source_id").collect()}  # at most 10,000 files a package
+        official = lambda row, *keys: {k: row[k] for k in keys} | {"provenance": "official", "source_id": files.get(row["source_file_id"]), "locator": row["source_locator"]}
+        for r in texts.orderBy("kind", "sequence_number", "text_id").collect():
+            record["labels" if r.kind == "label" else "texts"].append(official(r, "kind", "language", "text"))
+        record["texts"] += [official(r, "kind", "language", "text") for r in linked.orderBy("kind", "document_id", "sequence_number").collect()]
+        record["properties"] = [official(r, "name", "value", "language") for r in props.orderBy("name", "property_id").collect()]
         total = relations.count()
-        page = relations.offset(relation_offset).limit(relation_limit).collect()
-        items = [r.asDict() for r in texts.collect()]
-        return base | {
-            "match_status": "exact" if code == n else "normalized_exact", "version": revision["version_indicator"] or None, "valid_from": revision["valid_from"], "valid_to": revision["valid_to"], "level": revision["level"],
-            "labels": [t for t in items if t["kind"] == "label"], "texts": [t for t in items if t["kind"] != "label"], "properties": [r.asDict() for r in props.collect()],
-            "relations": [r.asDict() for r in page], "relation_count": total, "relations_truncated": len(page) < total,
-            "next_relation_offset": relation_offset + len(page) if relation_offset + len(page) < total else None,
-            "documents": [r.asDict() for r in self.related_documents(concept["concept_id"], rid).collect()],
-        }
-
-    def related_documents(self, concept_id: int, revision_id: int | None = None) -> DataFrame:
-        links = self.t["document_link"].where(F.col("concept_id") == concept_id).select("document_id", "kind")
-        if revision_id is not None:
-            links = links.unionByName(self.t["document_revision_link"].where(F.col("revision_id") == revision_id).select("document_id", "kind"))
-        return links.distinct().join(self.t["document"].select("document_id", "title", "language"), "document_id").select("document_id", F.col("kind").alias("link_type"), "title", "language").orderBy("document_id", "link_type")
+        page = relations.orderBy(*rec.RELATION_ORDER).offset(relation_offset).limit(relation_limit).collect()
+        record["relations"] = [official(r, *rec.RELATION_ORDER, "code") for r in page]
+        end = relation_offset + len(page)
+        record |= {"relation_count": total, "relations_truncated": len(page) < total, "next_relation_offset": end if end < total else None}
+        record["documents"] = [official(r, "document_id", "link_type", "kind", "language", "title", "page_count") for r in documents.orderBy("kind", "document_id", "link_type").collect()]
+        shown = self.spark.createDataFrame([(top["concept_id"], r.source_file_id) for r in page], "concept_id long, source_file_id long")
+        record["sources"] = [r.asDict() for r in rec.sources(self.t, head, texts, linked, props, documents, shown).drop("concept_id").orderBy("source_id").collect()]
+        return _bounded(record)
 
     def search(self, query: str, schemes: list[str] | None = None, release: str = "current", language: str = "ja", limit: int = 20, *, offset: int = 0) -> dict:
         """Canonical concepts with a revision in force, one hit per code and version."""
         lang = _one_of(language, LANGUAGES, "INVALID_LANGUAGE")
+        if schemes is not None and not schemes:
+            raise QueryError("INVALID_SCHEME", "at least one scheme is required")
         keep = tuple(_one_of(s, SCHEMES, "INVALID_SCHEME") for s in (schemes or SCHEMES))
-        rel = self.release(release)
-        rev = self.t["concept_revision"].where(active_at(rel["reference_date"])).select("revision_id", "concept_id", "version_indicator")
-        con = self.t["concept"].where((F.col("record_status") == "canonical") & F.col("scheme").isin(*keep)).select("concept_id", "scheme", "edition", "code", "normalized_code")
-        index = self.t["concept_text"]
-        found = se.hits(index, "text", query).where(F.col("language") == lang).join(rev, "revision_id").join(con, "concept_id")
         se.check_page(limit, offset, PAGE)
-        owner = ["scheme", "edition", "normalized_code", "version_indicator"]
-        one = se.best_per(found.select(*owner, "code", "rank", "kind", "text_id", "excerpt"), owner, ["rank", "kind", "text_id"])
-        rows = one.orderBy("rank", "scheme", F.desc("edition"), "normalized_code", "version_indicator", "kind", "text_id").offset(offset).limit(limit + 1).collect()
-        return {"search_mode": se.mode_of(se.clean_query(query)), "hits": [r.asDict() for r in rows[:limit]], "has_more": len(rows) > limit, "next_offset": offset + limit if len(rows) > limit else None}
+        rel = self.release(release)
+        one = rec.found_concepts(self.t, query, keep, rel["reference_date"], lang)
+        rows = one.orderBy("rank", "scheme", F.desc("edition"), "normalized_code", "version", "kind", "text_id").offset(offset).limit(limit + 1).collect()
+        return self._page(query, rows, limit, offset)
 
     def search_documents(self, query: str, release: str = "current", language: str = "ja", limit: int = 20, *, offset: int = 0) -> dict:
         lang = _one_of(language, LANGUAGES, "INVALID_LANGUAGE")
         se.check_page(limit, offset, PAGE)
-        doc = self.t["document"].where((F.col("release_id") == self.release(release)["release_id"]) & F.col("language").isin(lang, "und")).select("document_id", F.col("kind").alias("document_kind"), "title")
-        found = se.hits(self.t["document_text"], "text", query).join(doc, "document_id")
-        one = se.best_per(found.select("document_id", "document_kind", "title", "rank", "sequence_number", "document_text_id", "locator", "excerpt"), ["document_id"], ["rank", "sequence_number", "document_text_id"])
-        rows = one.orderBy("rank", "document_id", "sequence_number").offset(offset).limit(limit + 1).collect()
-        return {"search_mode": se.mode_of(se.clean_query(query)), "hits": [r.asDict() for r in rows[:limit]], "has_more": len(rows) > limit, "next_offset": offset + limit if len(rows) > limit else None}
-
-    def search_all(self, query: str, schemes: list[str] | None = None, release: str = "current", language: str = "ja", limit: int = 20, *, classification_offset: int = 0, document_offset: int = 0) -> dict:
-        a = self.search(query, schemes, release, language, limit, offset=classification_offset)
-        b = self.search_documents(query, release, language, limit, offset=document_offset)
+        one = rec.found_documents(self.t, query, self.release(release)["release_id"], lang)
+        return self._page(query, one.orderBy("rank", "document_id", "sequence_number").offset(offset).limit(limit + 1).collect(), limit, offset)
+
+    @staticmethod
+    def _page(query: str, rows: list, limit: int, offset: int) -> dict:
+        more = len(rows) > limit
+        return _bounded({"search_mode": se.mode_of(se.clean_query(query)), "hits": [r.asDict() for r in rows[:limit]], "has_more": more, "next_offset": offset + limit if more else None})
+
+    def search_all(self, query: str, schemes: list[str] | None = None, release: str = "current", language: str = "ja", limit: int = 20, *, content_types: list[str] | None = None, classification_offset: int = 0, document_offset: int = 0) -> dict:
+        """Classifications and documents (or the wanted ones), each with its own page."""
+        wanted = CONTENT if content_types is None else tuple(content_types)
+        if not wanted or set(wanted) - set(CONTENT):
+            raise QueryError("INVALID_CONTENT_TYPE", f"some of {', '.join(CONTENT)}")
+        none = {"search_mode": None, "hits": [], "has_more": False, "next_offset": None}
+        a = self.search(query, schemes, release, language, limit, offset=classification_offset) if "classification" in wanted else none
+        b = self.search_documents(query, release, language, limit, offset=document_offset) if "document" in wanted else none
         flat = [h | {"content_type": "classification"} for h in a["hits"]] + [h | {"content_type": "document"} for h in b["hits"]]
-        mode = a["search_mode"] if a["search_mode"] == b["search_mode"] else "mixed_lexical"
-        return {"search_mode": mode, "classifications": a, "documents": b, "hits": flat}
+        modes = {x["search_mode"] for x in (a, b) if x["search_mode"]}
+        return _bounded({"search_mode": modes.pop() if len(modes) == 1 else "mixed_lexical", "classifications": a, "documents": b, "hits": flat})
 
-    def hierarchy(self, direction: str, scheme: str, code: str, release: str = "current", edition: str | None = None, language: str = "ja", *, limit: int = 50, offset: int = 0) -> dict:
-        """One hop to parents or children with the label of each revision in force."""
+    def hierarchy(self, direction: str, scheme: str, code: str, release: str = "current", edition: str | None = None, language: str = "ja", *, limit: int | None = 50, offset: int = 0) -> dict:
+        """One hop to parents or children with the label of each revision in force; the full list where ``limit`` is None."""
         lang = _one_of(language, LANGUAGES, "INVALID_LANGUAGE")
-        se.check_page(limit, offset, RELATIONS)
+        if direction not in ("parents", "children"):
+            raise QueryError("INVALID_HIERARCHY_DIRECTION", "parents or children")
+        se.check_page(RELATIONS if limit is None else limit, offset, RELATIONS)
         rel = self.release(release)
         _, _, concept = self._concept(rel, scheme, code, edition)
         if concept is None:
             return {"items": [], "total": 0, "truncated": False, "next_offset": None}
-        mine, theirs = ("from_concept_id", "to_concept_id") if direction == "parents" else ("to_concept_id", "from_concept_id")
-        ends = self.t["relation"].where((F.col("kind") == "parent") & (F.col(mine) == concept["concept_id"])).select(F.col(theirs).alias("concept_id")).distinct()
-        con = ends.join(self.t["concept"].select("concept_id", "scheme", "edition", "code", "normalized_code", "record_status"), "concept_id")
-        live = self.t["concept_revision"].where(active_at(rel["reference_date"])).join(ends, "concept_id", "left_semi")
-        if not live.groupBy("concept_id").count().where("count > 1").isEmpty():
+        rows = rec.neighbours(self.t, concept, direction, rel["reference_date"], lang)
+        ends = rows.select(F.col("other_id").alias("concept_id"))
+        if not rec.ambiguous_ends(self.t, ends, rel["reference_date"]).isEmpty():
             raise QueryError("MULTIPLE_ACTIVE_REVISIONS", direction)
-        label = self.t["concept_text"].where((F.col("kind") == "label") & (F.col("language") == lang)).join(live.select("revision_id"), "revision_id", "left_semi")
-        first = label.groupBy("revision_id").agg(F.min_by("text", F.struct("sequence_number", "text_id")).alias("label"))
-        rows = con.join(live.select("concept_id", "revision_id", F.col("version_indicator").alias("version")), "concept_id", "left").join(first, "revision_id", "left")
-        total = con.count()
-        page = rows.orderBy("scheme", "edition", "normalized_code", F.coalesce("version", F.lit(""))).offset(offset).limit(limit).drop("revision_id", "concept_id").collect()
-        return {"items": [r.asDict() for r in page], "total": total, "truncated": len(page) < total, "next_offset": offset + len(page) if offset + len(page) < total else None}
+        total = rows.count()
+        page = rows.orderBy(*rec.HIERARCHY_ORDER[:3], F.coalesce("version", F.lit(""))).offset(offset)
+        page = (page if limit is None else page.limit(limit)).drop("concept_id", "other_id").collect()
+        end = offset + len(page)
+        return _bounded({"items": [r.asDict() for r in page], "total": total, "truncated": len(page) < total, "next_offset": end if end < total else None})
+
+    def parents(self, scheme: str, code: str, **how) -> list[dict] | dict:
+        """All parents; one page with its totals where ``limit`` is given."""
+        return self._hop("parents", scheme, code, how)
 
-    def parents(self, scheme: str, code: str, **how) -> dict:
-        return self.hierarchy("parents", scheme, code, **how)
+    def children(self, scheme: str, code: str, **how) -> list[dict] | dict:
+        """All children; one page with its totals where ``limit`` is given."""
+        return self._hop("children", scheme, code, how)
 
-    def children(self, scheme: str, code: str, **how) -> dict:
-        return self.hierarchy("children", scheme, code, **how)
+    def _hop(self, direction: str, scheme: str, code: str, how: dict) -> list[dict] | dict:
+        if "limit" in how or "offset" in how:
+            return self.hierarchy(direction, scheme, code, **how)
+        return self.hierarchy(direction, scheme, code, **how, limit=None)["items"]
 
     def get_document(self, document_id: str, page: int | None = None, section: str | None = None) -> dict:
+        if not re.fullmatch(r"doc-[0-9A-Za-z]{1,64}", document_id or ""):
+            raise QueryError("INVALID_DOCUMENT_ID", "not a document identifier")
         if page is not None and section is not None:
-            raise QueryError("INVALID_SELECTOR", "page and section exclude each other")
-        doc = self.t["document"].where(F.col("document_id") == document_id).first()
+            raise QueryError("INVALID_DOCUMENT_SELECTOR", "page and section exclude each other")
+        if page is not None and page < 1:
+            raise QueryError("INVALID_PAGE", "pages start at 1")
+        if section is not None and not section.strip():
+            raise QueryError("INVALID_SECTION", "a section is not empty")
+        wanted = self.t["document"].where(F.col("document_id") == document_id)
+        doc = wanted.first()
         if doc is None:
             raise QueryError("DOCUMENT_NOT_FOUND", document_id)
-        parts = self.t["document_text"].where(F.col("document_id") == document_id)
-        if page is not None:
-            parts = parts.where(F.col("locator") == f"page:{page}")
-        if section is not None:
-            parts = parts.where((F.col("locator") == section) | (F.col("heading") == section))
-        total = parts.count()
-        links = self.t["document_link"].where(F.col("document_id") == document_id).select("concept_id", "kind").unionByName(
-            self.t["document_revision_link"].where(F.col("document_id") == document_id).join(self.t["concept_revision"].select("revision_id", "concept_id"), "revision_id").select("concept_id", "kind")
-        ).distinct()
-        n_links = links.count()
-        related = links.join(self.t["concept"].select("concept_id", "scheme", "edition", "normalized_code"), "concept_id").orderBy("scheme", "edition", "normalized_code", "kind").limit(RELATIONS).collect()
+        keep = F.col("locator") == f"page:{page}" if page is not None else (F.col("locator") == section) | (F.col("heading") == section) if section is not None else None
+        parts, links = rec.segments(self.t, wanted, keep).drop("document_id"), rec.related_concepts(self.t, wanted).drop("document_id")
+        total, n_links = parts.count(), links.count()
         shown = parts.orderBy("sequence_number").limit(SEGMENTS).collect()
-        return doc.asDict() | {"segments": [r.asDict() for r in shown], "segment_count": total, "segments_truncated": len(shown) < total, "related": [r.asDict() for r in related], "related_count": n_links, "related_truncated": n_links > RELATIONS}
+        related = links.orderBy("scheme", "edition", "normalized_code", "kind").limit(RELATIONS).collect()
+        return _bounded(doc.asDict() | {"segments": [r.asDict() for r in shown], "segment_count": total, "segments_truncated": len(shown) < total, "related": [r.asDict() for r in related], "related_count": n_links, "related_truncated": n_links > RELATIONS})
 
     def groups(self) -> DataFrame:
         """Record bundles by publication group: (group_key, scheme, edition, record_json) of canonical concepts."""

@@ -300,6 +300,13 @@ def revision_paths(relations: DataFrame, revisions: DataFrame) -> DataFrame:
     return out.select(F.col("v").alias("revision_id"), F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
 
 
+def revision_descendant_list(relations: DataFrame, revisions: DataFrame) -> DataFrame:
+    """(revision_id, descendant_id): every pair of an acyclic revision and one below it, as many rows as the paths have steps."""
+    out = Forest(revision_links(relations, revisions)).paths()
+    above = F.slice("path", F.lit(1), F.size("path") - 1)
+    return out.select(F.explode(above).alias("revision_id"), F.col("v").alias("descendant_id"))
+
+
 def revision_descendants(relations: DataFrame, revisions: DataFrame) -> DataFrame:
     """(revision_id, root_revision_id, tin, tout, n_descendants): descendants as intervals of the numbering."""
     out = Forest(revision_links(relations, revisions), intervals=True).spans()

@@ -31,7 +31,11 @@ def _p2_descendants(spark, d):
 
 
 def _p2_records(spark, d):
-    return hierarchy.record_depths(table(spark, d, "storage_record"))
+    return hierarchy.record_hierarchy(table(spark, d, "storage_record")).select("release_id", "record", "root_record", "depth")
+
+
+def _p2_descendant_list(spark, d):
+    return hierarchy.revision_descendant_list(table(spark, d, "revision_relation"), table(spark, d, "concept_revision"))
 
 
 def _p2_revisions(spark, d):
@@ -91,6 +95,7 @@ QUERIES = {
     "p2_found": _p2_found,
     "p2_paths": _p2_paths,
     "p2_descendants": _p2_descendants,
+    "p2_descendant_list": _p2_descendant_list,
     "p2_records": _p2_records,
     "p2_revisions": _p2_revisions,
     "p2_releases": _p2_releases,
@@ -159,15 +164,6 @@ walk AS (
 ended AS (SELECT v, cur, path, looped FROM walk w WHERE looped OR NOT EXISTS (SELECT 1 FROM link l WHERE l.v = w.cur))
 """
 
-_RECORD_LINKS = _STATE.replace("WITH clean", "WITH RECURSIVE clean").replace("loaded_at\n", "loaded_at, relations AS rel\n") + """,
-node AS (SELECT concat_ws('|', scheme, edition, normalized_code) AS v, rel FROM one WHERE release_id = (SELECT max(release_id) FROM storage_record)),
-link AS (
-  SELECT v, min(p) AS p FROM (
-    SELECT v, concat_ws('|', r.scheme, coalesce(r.edition, ''), upper(regexp_replace(r.code, '\\s', '', 'g'))) AS p
-    FROM (SELECT v, unnest(rel) AS r FROM node) WHERE lower(trim(r.type)) = 'parent')
-  WHERE p IN (SELECT v FROM node) GROUP BY v),
-""" + _LINKS[_LINKS.index("walk AS ("):]
-
 _RELEASE_LINKS = _STATE.replace("WITH clean", "WITH RECURSIVE clean").replace("loaded_at\n", "loaded_at, relations AS rel\n") + """,
 node AS (SELECT release_id, concat_ws('|', scheme, edition, normalized_code) AS v, rel FROM one),
 link AS (
@@ -213,16 +209,14 @@ FROM ended""",
 FROM (SELECT unnest(path) AS u, cur AS root FROM ended WHERE NOT looped
       UNION ALL SELECT DISTINCT cur, cur FROM ended WHERE NOT looped)
 GROUP BY u, root""",
-    "p2_records": _RECORD_LINKS
-    + """SELECT v AS record, CASE WHEN looped THEN list_min(list_slice(path, list_position(path, cur), len(path))) ELSE cur END AS root_record,
-       CAST(CASE WHEN NOT looped THEN len(path) - 1 WHEN cur = v THEN -1 ELSE -2 END AS BIGINT) AS depth
-FROM ended""",
+    "p2_descendant_list": _LINKS + "SELECT * FROM (SELECT unnest(path) AS revision_id, v AS descendant_id FROM ended WHERE NOT looped) WHERE revision_id <> descendant_id",
     "p4_found": _PERIODS
     + """SELECT scheme, edition, normalized_code, version, first_release_id, last_release_id FROM periods
 QUALIFY count(*) OVER (PARTITION BY scheme, edition, normalized_code) > 1""",
     "p4_periods": _PERIODS + "SELECT * FROM periods",
 }
 
+SQL["p2_records"] = f"SELECT release_id, record, root_record, depth FROM ({SQL['p2_releases']})"
 
 # -- rows that fail to parse ---------------------------------------------------
 _FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'

@@ -57,10 +57,10 @@ def _pick(spark, d):
     return temporal.pick_revision(table(spark, d, "concept_revision"), table(spark, d, "concept"), AS_OF)
 
 
-@query("available_versions", "SELECT concept_id, string_agg(version_indicator, ',' ORDER BY version_indicator, coalesce(valid_from, ''), revision_id) AS versions FROM concept_revision GROUP BY concept_id")
+@query("available_versions", "SELECT concept_id, string_agg(version_indicator || '|' || coalesce(valid_from, '') || '|' || coalesce(valid_to, ''), ',' ORDER BY version_indicator, coalesce(valid_from, ''), revision_id) AS versions FROM concept_revision GROUP BY concept_id")
 def _versions(spark, d):
     v = temporal.available_versions(table(spark, d, "concept_revision"))
-    return v.select("concept_id", F.array_join(F.transform("versions", lambda s: s["version"]), ",").alias("versions"))
+    return v.select("concept_id", F.array_join(F.transform("versions", lambda s: F.concat_ws("|", s["version"], *(F.coalesce(s[k], F.lit("")) for k in ("valid_from", "valid_to")))), ",").alias("versions"))
 
 
 @query("edition_priority", """
@@ -71,12 +71,13 @@ def _edition(spark, d):
 
 
 @query("record_shape", """
-SELECT c.scheme, c.edition, c.normalized_code, count(r.revision_id) AS n_revisions, coalesce(max(r.version_indicator), '') AS last_version
-FROM concept c LEFT JOIN concept_revision r USING (concept_id) GROUP BY c.concept_id, c.scheme, c.edition, c.normalized_code""")
+SELECT c.scheme, nullif(c.edition, '') AS edition, c.normalized_code, c.record_status, r.revision_id, nullif(r.version_indicator, '') AS version, r.valid_from, r.valid_to, coalesce(r.level, -1) AS level
+FROM concept c LEFT JOIN concept_revision r USING (concept_id)""")
 def _shape(spark, d):
-    r = table(spark, d, "concept_revision").groupBy("concept_id").agg(F.count(F.lit(1)).alias("n"), F.max("version_indicator").alias("v"))
+    none = lambda c: F.nullif(c, F.lit(""))
+    r = table(spark, d, "concept_revision").select("concept_id", "revision_id", none("version_indicator").alias("version"), "valid_from", "valid_to", "level")
     return table(spark, d, "concept").join(r, "concept_id", "left").select(
-        "scheme", "edition", "normalized_code", F.coalesce("n", F.lit(0)).alias("n_revisions"), F.coalesce("v", F.lit("")).alias("last_version")
+        "scheme", none("edition").alias("edition"), "normalized_code", "record_status", "revision_id", "version", "valid_from", "valid_to", F.coalesce("level", F.lit(-1)).alias("level")
     )
 
 
@@ -150,9 +151,9 @@ def _json(spark, d):
     return table(spark, d, "source_record").select("file_id", "record_number", F.get_json_object("payload_json", "$.code").alias("code"))
 
 
-@query("html_escape", "SELECT doc_id, length(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS n FROM documents")
+@query("html_escape", "SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM documents")
 def _escape(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length(tx.html_escape(F.col("text"))).cast("long").alias("n"))
+    return table(spark, d, "documents").select("doc_id", tx.html_escape(F.col("text")).alias("escaped"))
 
 
 @query("excerpt", """
@@ -209,17 +210,18 @@ def _distinct(spark, d):
 
 
 @query("composite_search", """
-SELECT 'classification' AS hit_type, normalized_code AS hit FROM concept WHERE starts_with(normalized_code, 'G06F3')
+SELECT DISTINCT 'classification' AS hit_type, normalized_code AS hit FROM (SELECT normalized_code, unnest(labels) AS l FROM storage_record) WHERE contains(lower(l.text), 'gypsum board')
 UNION ALL SELECT 'document', CAST(doc_id AS VARCHAR) FROM documents WHERE contains(lower(text), 'gypsum board')""")
 def _composite(spark, d):
-    a = table(spark, d, "concept").where(F.col("normalized_code").startswith("G06F3")).select(F.lit("classification").alias("hit_type"), F.col("normalized_code").alias("hit"))
+    labels = table(spark, d, "storage_record").select("normalized_code", F.explode("labels").alias("l")).select("normalized_code", "l.text")
+    a = search.hits(labels, "text", "gypsum board").where(F.lower("text").contains("gypsum board")).select(F.lit("classification").alias("hit_type"), F.col("normalized_code").alias("hit")).distinct()
     b = search.hits(table(spark, d, "documents"), "text", "gypsum board").where(F.lower("text").contains("gypsum board"))
     return a.unionByName(b.select(F.lit("document").alias("hit_type"), F.col("doc_id").cast("string").alias("hit")))
 
 
-@query("trigram_postings", "SELECT gram, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest([substring(lower(text), CAST(i AS INT), 3) FOR i IN range(1, length(text) - 1)]) AS gram FROM documents WHERE length(text) >= 3) GROUP BY gram")
+@query("trigram_postings", "SELECT DISTINCT gram, doc_id FROM (SELECT doc_id, unnest([substring(lower(text), CAST(i AS INT), 3) FOR i IN range(1, length(text) - 1)]) AS gram FROM documents WHERE length(text) >= 3)")
 def _grams(spark, d):
-    return search.trigrams(table(spark, d, "documents"), "doc_id", "text").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return search.trigrams(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("posting_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'memory bank')")
@@ -313,10 +315,10 @@ def _conflict(spark, d):
     return temporal.conflicts(_sr(spark, d), keys, ["release_id", "loaded_at", "code", "version"], ["version"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_conflicts"))
 
 
-@query("parent_conflict", _BOTH + "SELECT src, count(DISTINCT dst) AS n_parents, min(dst) AS kept FROM view WHERE kind = 'parent' GROUP BY src HAVING count(DISTINCT dst) > 1")
+@query("parent_conflict", _BOTH + "SELECT src, kind, count(DISTINCT dst) AS n_ends, min(dst) AS kept FROM view GROUP BY src, kind HAVING count(DISTINCT dst) > 1")
 def _pconf(spark, d):
-    view = edges.both_ways(table(spark, d, "revision_relation"), "from_revision_id", "to_revision_id").where("kind = 'parent'").distinct()
-    return view.groupBy("src").agg(F.count(F.lit(1)).alias("n_parents"), F.min("dst").alias("kept")).where("n_parents > 1")
+    view = edges.both_ways(table(spark, d, "revision_relation"), "from_revision_id", "to_revision_id").distinct()
+    return view.groupBy("src", "kind").agg(F.count(F.lit(1)).alias("n_ends"), F.min("dst").alias("kept")).where("n_ends > 1")
 
 
 # -- aggregates ------------------------------------------------------------
@@ -399,11 +401,12 @@ def _parity(spark, d):
 
 
 @query("symmetric_difference", """
-WITH a AS (SELECT DISTINCT scheme, edition, normalized_code FROM concept), b AS (SELECT DISTINCT scheme, edition, normalized_code FROM (""" + _SR + """))
+WITH a AS (SELECT DISTINCT scheme, edition, normalized_code, version_indicator AS version FROM concept JOIN concept_revision USING (concept_id)), b AS (SELECT DISTINCT scheme, edition, normalized_code, version FROM (""" + _SR + """))
 (SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) UNION ALL (SELECT *, 'right' FROM (SELECT * FROM b EXCEPT SELECT * FROM a))""")
 def _symm(spark, d):
-    keys = ["scheme", "edition", "normalized_code"]
-    return quality.symmetric_difference(table(spark, d, "concept").select(*keys), _sr(spark, d).select(*keys))
+    keys = ["scheme", "edition", "normalized_code", "version"]
+    known = table(spark, d, "concept").join(table(spark, d, "concept_revision").select("concept_id", F.col("version_indicator").alias("version")), "concept_id")
+    return quality.symmetric_difference(known.select(*keys), _sr(spark, d).select(*keys))
 
 
 @query("intersect_groups", f"SELECT DISTINCT group_key FROM documents INTERSECT SELECT CASE WHEN scheme = 'fterm' THEN left(normalized_code, 5) ELSE split_part(normalized_code, '/', 1) END FROM concept")
@@ -419,10 +422,14 @@ def _orphans(spark, d):
 
 
 @query("record_count_check", """
-SELECT file_id, record_count AS declared, coalesce(n, 0) AS actual FROM source_file LEFT JOIN (
+SELECT release_id AS file_id, source_file_count AS declared, coalesce(n, 0) AS actual FROM pmgs_release LEFT JOIN (SELECT release_id, count(*) AS n FROM source_file GROUP BY 1) USING (release_id) WHERE source_file_count <> coalesce(n, 0)
+UNION ALL SELECT CAST(file_id AS VARCHAR), record_count, coalesce(n, 0) FROM source_file LEFT JOIN (
   SELECT file_id, count(*) AS n FROM (SELECT file_id FROM source_record UNION ALL SELECT file_id FROM raw_record) GROUP BY 1) USING (file_id) WHERE record_count <> coalesce(n, 0)""")
 def _rcount(spark, d):
-    return quality.record_counts(table(spark, d, "source_file"), [table(spark, d, "source_record"), table(spark, d, "raw_record")])
+    files = table(spark, d, "source_file")
+    packages = quality.record_counts(table(spark, d, "pmgs_release").select(F.col("release_id").alias("file_id"), F.col("source_file_count").alias("record_count")), [files.select(F.col("release_id").alias("file_id"))])
+    rows = quality.record_counts(files, [table(spark, d, "source_record"), table(spark, d, "raw_record")])
+    return packages.unionByName(rows.withColumn("file_id", F.col("file_id").cast("string")))
 
 
 _RULES = (
@@ -469,13 +476,12 @@ def _pack(spark, d):
     return publish.pack(rows, "group_key", ["doc_id"], "n_chars", 4096).select("doc_id", "group_key", "chunk")
 
 
-@query("chunk_nav", """
-WITH o AS (SELECT doc_id, kind, (doc_id // 100) AS chunk FROM documents),
-c AS (SELECT kind, chunk, min(doc_id) AS first_key, max(doc_id) AS last_key, count(*) AS n FROM o GROUP BY ALL)
-SELECT kind, chunk, first_key, last_key, n, lag(chunk) OVER (PARTITION BY kind ORDER BY chunk) AS prev_chunk, lead(chunk) OVER (PARTITION BY kind ORDER BY chunk) AS next_chunk FROM c""")
+@query("chunk_nav", SQL["chunk_pack"].replace("SELECT doc_id, group_key, chunk FROM f", """,
+c AS (SELECT f.group_key, chunk, min(doc_id) AS first_key, max(doc_id) AS last_key, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS bytes FROM f JOIN documents USING (doc_id) GROUP BY ALL)
+SELECT group_key, chunk, first_key, last_key, n, bytes, lag(chunk) OVER (PARTITION BY group_key ORDER BY chunk) AS prev_chunk, lead(chunk) OVER (PARTITION BY group_key ORDER BY chunk) AS next_chunk FROM c"""))
 def _nav(spark, d):
-    rows = table(spark, d, "documents").select("kind", "doc_id", "n_chars", F.floor(F.col("doc_id") / 100).cast("long").alias("chunk"))
-    return publish.directory(rows, "kind", "doc_id", "n_chars").drop("bytes")
+    rows = table(spark, d, "documents").select("doc_id", "group_key", "n_chars")
+    return publish.directory(publish.pack(rows, "group_key", ["doc_id"], "n_chars", 4096), "group_key", "doc_id", "n_chars")
 
 
 @query("range_directory_lookup", """
@@ -511,24 +517,18 @@ def _mdigest(spark, d):
     return publish.manifest_digest(table(spark, d, "source_file"))
 
 
-@query("record_bundle", """
-SELECT c.concept_id, count(DISTINCT r.revision_id) AS n_revisions, count(DISTINCT CASE WHEN k.kind IN ('parent') THEN k.dst END) AS n_parents, count(DISTINCT CASE WHEN k.kind = 'child' THEN k.dst END) AS n_children
-FROM concept c JOIN concept_revision r USING (concept_id) LEFT JOIN (""" + _BOTH.replace("WITH ", "WITH ") + """SELECT DISTINCT src, dst, kind FROM view) k ON k.src = r.revision_id GROUP BY c.concept_id""")
+@query("record_bundle", _BOTH + """
+SELECT DISTINCT c.concept_id, r.revision_id, r.version_indicator, k.kind, k.dst FROM concept c JOIN concept_revision r USING (concept_id) LEFT JOIN view k ON k.src = r.revision_id""")
 def _bundle(spark, d):
     view = edges.both_ways(table(spark, d, "revision_relation"), "from_revision_id", "to_revision_id").distinct()
-    rev = table(spark, d, "concept_revision").select("concept_id", "revision_id")
-    per = rev.join(view.withColumnRenamed("src", "revision_id"), "revision_id", "left").groupBy("concept_id").agg(
-        F.countDistinct("revision_id").alias("n_revisions"),
-        F.countDistinct(F.when(F.col("kind") == "parent", F.col("dst"))).alias("n_parents"),
-        F.countDistinct(F.when(F.col("kind") == "child", F.col("dst"))).alias("n_children"),
+    rev = table(spark, d, "concept_revision").select("concept_id", "revision_id", "version_indicator")
+    return table(spark, d, "concept").select("concept_id").join(rev, "concept_id").join(view.withColumnRenamed("src", "revision_id"), "revision_id", "left").select(
+        "concept_id", "revision_id", "version_indicator", "kind", "dst"
     )
-    return table(spark, d, "concept").select("concept_id").join(per, "concept_id")
 
 
 @query("language_projection", """
-SELECT release_id, code, loaded_at, len(list_filter(labels, lambda x: x.language = 'en')) AS n_en, len(list_filter(labels, lambda x: x.language = 'ja')) AS n_ja FROM storage_record""")
+SELECT release_id, code, loaded_at, l.kind, l.language, l.text FROM (SELECT release_id, code, loaded_at, unnest(labels) AS l FROM storage_record) WHERE l.language = 'en'""")
 def _language(spark, d):
-    return table(spark, d, "storage_record").select(
-        "release_id", "code", "loaded_at",
-        F.size(F.filter("labels", lambda x: x["language"] == "en")).cast("long").alias("n_en"), F.size(F.filter("labels", lambda x: x["language"] == "ja")).cast("long").alias("n_ja"),
-    )
+    kept = F.filter("labels", lambda x: x["language"] == "en")
+    return table(spark, d, "storage_record").select("release_id", "code", "loaded_at", F.explode(kept).alias("l")).select("release_id", "code", "loaded_at", "l.kind", "l.language", "l.text")

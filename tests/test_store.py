@@ -108,6 +108,8 @@ def test_lookup(store):
     assert new["edition"] == "8U" and new["version"] == "2016.01" and len(new["available_versions"]) == 2
     assert store.lookup("ipc", "B01D10/00", version="2006.01")["valid_to"] == "2015-12-31"
     assert store.lookup("ipc", "B01D10/00", version="1999.01")["match_status"] == "version_not_found"
+    assert {x["relative_path"] for x in r["sources"]} >= {"FI/FI/fi_B_20260101.csv", "FI/FI_HB/fiHB_B_20260101.csv"} and r["texts"][-1]["text"] == "手引きの本文"
+    assert r["release_id"] == "JPPM2026001" and r["relations"][0]["source_id"].startswith("src-")
     assert store.lookup("ipc", "B01D10/00", edition="8b")["version"] is None
     assert store.lookup("fi", "Z99Z1/00")["match_status"] == "not_found"
     for bad in (("xx", "A", {}), ("fi", "", {}), ("fi", "A", {"edition": "8U"}), ("fi", "A", {"language": "fr"}), ("fi", "A", {"relation_limit": 0})):
@@ -119,7 +121,7 @@ def test_search_and_documents(store):
     found = store.search("濾過器")
     assert [h["normalized_code"] for h in found["hits"]] == ["B01D10/00"] and found["search_mode"] == "ranked"
     assert store.search("題")["search_mode"] == "literal"
-    assert {h["version_indicator"] for h in store.search("題", ["ipc"])["hits"]} == {"2016.01", "2006.01", ""}
+    assert {h["version"] for h in store.search("題", ["ipc"])["hits"]} == {"2016.01", "2006.01", ""}
     first = store.search("題", ["ipc"], limit=2)
     second = store.search("題", ["ipc"], limit=2, offset=2)
     assert first["has_more"] and len(first["hits"] + second["hits"]) == 3
@@ -128,8 +130,17 @@ def test_search_and_documents(store):
     assert one["segment_count"] == 1 and one["related_count"] == 2
     assert store.get_document(one["document_id"], section="B01D10/00")["segment_count"] == 1
     assert store.search_all("手引きの")["hits"][0]["content_type"] == "document"
-    with pytest.raises(QueryError):
-        store.get_document("doc-none")
+    for code, ask in {
+        "DOCUMENT_NOT_FOUND": lambda: store.get_document("doc-none"), "INVALID_DOCUMENT_ID": lambda: store.get_document("x/y"), "INVALID_PAGE": lambda: store.get_document("doc-1", page=0),
+        "INVALID_SECTION": lambda: store.get_document("doc-1", section=" "), "INVALID_DOCUMENT_SELECTOR": lambda: store.get_document("doc-1", 1, "x"),
+        "INVALID_VERSION": lambda: store.lookup("fi", "A", version="2006.01"), "INVALID_RELATION_LIMIT": lambda: store.lookup("fi", "A", relation_limit=201),
+        "INVALID_RELATION_OFFSET": lambda: store.lookup("fi", "A", relation_offset=-1), "INVALID_CONTENT_TYPE": lambda: store.search_all("x", content_types=["page"]),
+        "INVALID_HIERARCHY_DIRECTION": lambda: store.hierarchy("down", "fi", "A"), "RESPONSE_TOO_LARGE": lambda: __import__("kasane.api").api._bounded({"x": "y" * (4 << 20)}),
+    }.items():
+        with pytest.raises(QueryError) as bad:
+            ask()
+        assert bad.value.code == code
+    assert [h["content_type"] for h in store.search_all("題", content_types=["classification"])["hits"]] == ["classification"] * 4
     with pytest.raises(QueryError):
         store.search("\x00")
 
@@ -137,8 +148,8 @@ def test_search_and_documents(store):
 def test_hierarchy(store):
     kids = store.children("fi", "B01D10/00", limit=1)
     assert kids["total"] == 2 and kids["truncated"] and kids["next_offset"] == 1
-    assert store.parents("fi", "B01D10/02")["items"][0]["normalized_code"] == "B01D10/00"
-    assert store.children("fi", "none")["total"] == 0
+    assert [p["normalized_code"] for p in store.parents("fi", "B01D10/02")] == ["B01D10/00"]
+    assert store.children("fi", "none") == [] and len(store.children("fi", "B01D10/00")) == 2
     assert store.release_info()["reference_date"] == "2026-01-01"
     assert store.groups().where("group_key = 'B01D10'").count() > 0
 
