@@ -66,7 +66,7 @@ def test_ranked_search_equals_fts5(spark):
 
 def test_stack_islands_writers(spark):
     rows = spark.createDataFrame([("f", i, lv) for i, lv in enumerate([1, 2, 3, 3, None, 2, 1, 5, 4])], "f string, id int, level int")
-    got = {r.id: r.parent for r in temporal.stack_parent(rows, ["f"], ["id"], "level", "id", range(0, 9)).collect()}
+    got = {r.id: r.parent for r in temporal.stack_parent(rows, ["f"], ["id"], "level", "id").collect()}
     assert got == {0: None, 1: 0, 2: 1, 3: 1, 4: None, 5: 0, 6: None, 7: 6, 8: 6}
     runs = spark.createDataFrame([("u", i, v) for i, v in enumerate(["a", "a", None, None, "a"])], "u string, i int, v string")
     assert [r.island for r in temporal.island_ids(runs, ["u"], ["i"], "v").orderBy("i").collect()] == [1, 1, 2, 2, 3]
