@@ -246,10 +246,19 @@ class Matcher:
             first = np.searchsorted(key[order], np.arange(len(look.keys) + 1))
             self.seeds[size] = (look, first, owner)
         self.grams = {}
-        for w, k in ((w, k) for w in set(self.wide) for k in (0, 1)):
-            per = {c: rolled(codes_of(t), self.GRAM[w][k]) for c, t in enumerate(self.text) if self.wide[c] == w}
-            look = Lookup(np.concatenate([*per.values(), np.zeros(1, np.uint64)]))
-            self.grams[w, k] = (look, {c: np.searchsorted(look.keys, h) for c, h in per.items()})
+        self.row = np.zeros(len(self.text), np.int64)
+        self.least: dict[bool, np.ndarray] = {}
+        for w in set(self.wide):
+            mine = [c for c in range(len(self.text)) if self.wide[c] == w]
+            self.row[mine] = np.arange(len(mine))
+            self.least[w] = np.array([self.need[c][1] for c in mine])
+            for k in (0, 1):
+                per = [rolled(codes_of(self.text[c]), self.GRAM[w][k]) for c in mine]
+                look = Lookup(np.concatenate([*per, np.zeros(1, np.uint64)]))
+                table = np.full((len(mine), max(map(len, per))), len(look.keys), np.int32)  # padded with a gram no document has
+                for r, h in enumerate(per):
+                    table[r, : len(h)] = np.searchsorted(look.keys, h)
+                self.grams[w, k] = (look, table)
         self.spots: dict[int, dict[str, list[int]]] = {}
 
     def _pieces(self, text: str, words: list[str], rate: float) -> tuple[list[int], int]:
@@ -293,20 +302,27 @@ class Matcher:
         hits = {}
         for (w, k), (look, _) in self.grams.items():
             at, key = look.find(rolled(codes, self.GRAM[w][k]))
-            hits[w, k] = (np.searchsorted(at, start), key, np.zeros(len(look.keys), bool))
-        last, self.kept = -1, 0
-        for d, c in zip(docs.tolist(), classes.tolist()):
-            if d != last:
-                for edge, key, flag in hits.values():
-                    if last >= 0:
-                        flag[key[edge[last] : edge[last + 1]]] = False
-                    flag[key[edge[d] : edge[d + 1]]] = True
-                last = d
-            w = self.wide[c]
-            if all(self._shares(c, k, hits[w, k][2]) for k in (1, 0)):
-                self.kept += 1
-                if self.repeats(c, bares[d]):
-                    out[d] += self.items[c]
+            hits[w, k] = (np.searchsorted(at, start), key, np.zeros(len(look.keys) + 1, bool))
+        self.kept = 0
+        wide = np.array(self.wide)[classes]
+        edges = np.flatnonzero(np.diff(docs, prepend=-1, append=-1))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            d = int(docs[lo])
+            for edge, key, flag in hits.values():
+                flag[key[edge[d] : edge[d + 1]]] = True
+            for w in self.least:
+                some = classes[lo:hi][wide[lo:hi] == w]
+                if not len(some):
+                    continue
+                rows = self.row[some]  # all candidates of the document in one gather
+                shared = hits[w, 1][2][self.grams[w, 1][1][rows]].sum(1)
+                for c in some[shared >= self.least[w][rows]].tolist():
+                    if all(self._shares(c, k, hits[w, k][2]) for k in (1, 0)):
+                        self.kept += 1
+                        if self.repeats(c, bares[d]):
+                            out[d] += self.items[c]
+            for edge, key, flag in hits.values():
+                flag[key[edge[d] : edge[d + 1]]] = False
         return out
 
     def _shares(self, c: int, k: int, flag: np.ndarray) -> bool:
@@ -314,7 +330,7 @@ class Matcher:
         w, need = self.wide[c], self.need[c][k]
         if need <= 0:
             return True
-        have = flag[self.grams[w, k][1][c]]
+        have = flag[self.grams[w, k][1][self.row[c]]]
         span = self.run[c] - self.GRAM[w][k] + 1
         if np.count_nonzero(have) < need:
             return False
@@ -385,8 +401,10 @@ class Matcher:
         for i in range(n):
             for j in range(n - 1, i - 1, -1):
                 size = chain[j][3] - chain[i][2]
-                if size + 2 * self.REACH < want:
-                    break
+                if size + min(self.REACH, chain[i][2]) + min(self.REACH, len(passage) - chain[j][3]) < want:
+                    if size + 2 * self.REACH < want:
+                        break
+                    continue
                 errors = total[j] - total[i]
                 if errors <= rate * size + 1:
                     if size >= want or self._extend(passage, text, chain[i], chain[j], size, errors, rate, self.REACH) >= want:
@@ -405,15 +423,21 @@ class Matcher:
             row = list(range(len(t) + 1))
             gain, spent = 0, 0
             for x, ch in enumerate(p, 1):
-                nxt = [x]
-                for y, other in enumerate(t, 1):
-                    nxt.append(min(row[y] + 1, nxt[y - 1] + 1, row[y - 1] + (ch != other)))
-                row = nxt
-                if errors + min(row) > rate * (size + len(p)) + 1:
+                nxt, last_, slant = [x], x, row[0]
+                for above, other in zip(row[1:], t):
+                    cost = slant if ch == other else slant + 1
+                    if above < cost:
+                        cost = above + 1
+                    if last_ < cost:
+                        cost = last_ + 1
+                    nxt.append(cost)
+                    last_, slant = cost, above
+                row, low = nxt, min(nxt)
+                if errors + low > rate * (size + len(p)) + 1:
                     break  # costs only rise
                 # the grown end must itself be mostly repeated text
-                if min(row) <= 0.5 * x and errors + min(row) <= rate * (size + x) + 1:
-                    gain, spent = x, min(row)
+                if low <= 0.5 * x and errors + low <= rate * (size + x) + 1:
+                    gain, spent = x, low
             size, errors = size + gain, errors + spent
         return size
 
