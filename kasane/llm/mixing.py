@@ -69,7 +69,7 @@ def blocks(text: str, size: int = 50_000) -> Iterator[str]:
     yield text[at:]
 
 
-def fit(counts: dict[int, int], budget: int, whole: int = 1 << 16) -> dict[int, int]:
+def fit(counts: dict[int, int], budget: int, whole: int = 1 << 14) -> dict[int, int]:
     """How many texts of each length to take so that the sum is the greatest reachable one up to budget.
 
     Up to ``whole`` tokens the knapsack runs over the whole budget. Above, the
@@ -100,7 +100,12 @@ def _leave(counts: dict[int, int], budget: int, total: int, window: int) -> tupl
     """The same fraction of each length, so that about ``window`` tokens are left to fit, and what is left."""
     aim = budget - window
     take = {n: max(0, aim) * c // total for n, c in counts.items()}
-    return take, budget - sum(n * k for n, k in take.items())
+    rest = budget - sum(n * k for n, k in take.items())
+    for n in sorted(counts, reverse=True):  # what rounding left, down to the window
+        more = min(counts[n] - take[n], max(0, rest - window) // n)
+        take[n] += more
+        rest -= more * n
+    return take, rest
 
 
 def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
