@@ -59,6 +59,13 @@ class Store:
             raise QueryError("INVALID_STORE", f"missing tables: {missing}")
         self.t = {name: spark.read.parquet(os.path.join(base, f"{name}.parquet")) for name in TABLES}
 
+    @classmethod
+    def of(cls, spark: SparkSession, tables: dict[str, DataFrame]) -> Store:
+        """A store over tables at hand instead of a folder."""
+        made = cls.__new__(cls)
+        made.spark, made.t = spark, tables
+        return made
+
     # -- resolution -------------------------------------------------------
     def release(self, release: str = "current") -> dict:
         r = self.t["release"]

@@ -24,16 +24,50 @@ def parser() -> argparse.ArgumentParser:
     v = sub.add_parser("search")
     v.add_argument("store"), v.add_argument("query")
     v.add_argument("--language", default="ja"), v.add_argument("--limit", type=int, default=20)
+    for verb in ("parents", "children"):
+        v = sub.add_parser(verb)
+        v.add_argument("store"), v.add_argument("scheme"), v.add_argument("code"), v.add_argument("--edition"), v.add_argument("--language", default="ja")
+    v = sub.add_parser("export")
+    v.add_argument("store"), v.add_argument("target"), v.add_argument("policy"), v.add_argument("--base-url", default="https://example.invalid")
+    v = sub.add_parser("audit")
+    v.add_argument("first"), v.add_argument("second")
+    sub.add_parser("doctor").add_argument("store")
     v = sub.add_parser("document")
     v.add_argument("store"), v.add_argument("document_id")
     v.add_argument("--page", type=int), v.add_argument("--section")
     return p
 
 
+def doctor(spark, path: str) -> list[dict]:
+    """What a store needs to answer: every check runs, whatever the others say."""
+    from kasane.api import Store
+    from kasane.runtime import shared_folder
+    from kasane.sources.build import resolve
+
+    state: dict = {}
+
+    def opened():
+        state["store"] = Store(spark, path)
+        return f"{len(state['store'].t)} tables"
+
+    tests = {
+        "store path": lambda: resolve(path), "scratch folder": lambda: shared_folder(spark), "tables": opened, "release": lambda: state["store"].release()["release_id"],
+        "attribution": lambda: len(state["store"].t["release_source"].first().attribution), "concepts": lambda: state["store"].t["concept"].count(),
+        "search": lambda: state["store"].search("ab", limit=1)["search_mode"],
+    }
+    out = []
+    for name, test in tests.items():
+        try:
+            out.append({"check": name, "ok": True, "value": str(test())})
+        except Exception as gone:
+            out.append({"check": name, "ok": False, "value": f"{type(gone).__name__}: {gone}"[:200]})
+    return out
+
+
 def run(spark, a: argparse.Namespace) -> tuple[object, int]:
     from kasane.api import Store
-    from kasane.operators.quality import store_checks
-    from kasane.sources import build, package
+    from kasane.operators.quality import package_checks, store_checks
+    from kasane.sources import build, export, package
 
     if a.verb == "inventory":
         files = package.inventory(spark, a.root, a.release_id)
@@ -41,9 +75,20 @@ def run(spark, a: argparse.Namespace) -> tuple[object, int]:
         return {"files": files.count()}, 0
     if a.verb == "build":
         return {"store": build.build_store(spark, a.root, a.release_id, a.out)}, 0
+    if a.verb == "audit":
+        found = export.audit(spark, a.first, a.second)
+        return found, int(not found["equal"])
+    if a.verb == "doctor":
+        found = doctor(spark, a.store)
+        return {"checks": found}, int(not all(c["ok"] for c in found))
     store = Store(spark, a.store)
+    if a.verb == "export":
+        return export.export(store, a.target, a.policy, a.base_url), 0
+    if a.verb in ("parents", "children"):
+        return getattr(store, a.verb)(a.scheme, a.code, edition=a.edition, language=a.language), 0
     if a.verb == "validate":
-        rows = [r.asDict() for r in store_checks(store.t).collect()]
+        date = store.release()["reference_date"]
+        rows = [r.asDict() for r in store_checks(store.t).unionByName(package_checks(store.t, date, build.TABLES)).collect()]
         return {"valid": all(r["match"] for r in rows), "checks": rows}, int(not all(r["match"] for r in rows))
     if a.verb == "info":
         return store.release_info(), 0

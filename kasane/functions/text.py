@@ -51,6 +51,11 @@ def path_segment(value: Column) -> Column:
     return F.replace(encoded, F.lit("%7E"), F.lit("~"))
 
 
+def query_value(value: Column) -> Column:
+    """Percent-encoding of a query value: blanks become ``+``, letters, digits and ``-._~`` stay."""
+    return F.replace(F.replace(F.url_encode(value), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def fragment_id(value: Column) -> Column:
     """Byte escapes ``_XX`` for everything but letters, digits and ``-``."""
     out = F.url_encode(value)

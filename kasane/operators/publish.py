@@ -13,8 +13,8 @@ from kasane.operators.temporal import edition_rank
 from kasane.runtime import Scratch
 
 #: Local paths and secrets that must not be published (fixed values).
-LOCAL_PATH = r"(?i)(?:\b[a-z]:\\|\\\\[a-z0-9._-]+\\|/(?:home|users|root|tmp|mnt)/)"
-SECRET = r"(?i)\b(?:api[_-]?key|secret|password|access[_-]?token)\b\s*[:=]\s*\S+"
+LOCAL_PATH = r"(?i)(?:\b[a-z]:[\\/]|\\\\[a-z0-9._-]+\\|[\\/](?:home|users|root|tmp|mnt)[\\/])"
+SECRET = r"(?i)(?:api[_-]?key|secret|passw(?:or)?d|access[_-]?token)\s*[:=]\s*[^\s,;]+"
 
 
 def canonical_json(**cols: Column) -> Column:
@@ -24,11 +24,11 @@ def canonical_json(**cols: Column) -> Column:
 
 def group_index(concepts: DataFrame) -> DataFrame:
     """(kind, edition, group_key, n_concepts, first_id): the edition's own group, and the current one for the newest ipc edition."""
-    newest = F.min(F.when(F.col("scheme") == "ipc", edition_rank(F.col("edition")))).over(Window.partitionBy("scheme"))
     base = concepts.groupBy("scheme", "edition", group_key(F.col("scheme"), F.col("normalized_code")).alias("group_key")).agg(
         F.count(F.lit(1)).alias("n_concepts"), F.min("concept_id").alias("first_id")
     )
-    ranked = base.withColumn("__new", newest)
+    newest = base.where("scheme = 'ipc'").groupBy("scheme").agg(F.min(edition_rank(F.col("edition"))).alias("__new"))
+    ranked = base.join(newest, "scheme", "left")
     own = F.struct(F.col("scheme").alias("kind"), F.col("edition").alias("edition"))
     current = F.when((F.col("scheme") == "ipc") & (edition_rank(F.col("edition")) == F.col("__new")), F.struct(F.lit("ipc-current").alias("kind"), F.lit("").alias("edition")))
     return ranked.select(F.explode(F.array_compact(F.array(own, current))).alias("g"), "group_key", "n_concepts", "first_id").select("g.*", "group_key", "n_concepts", "first_id")
@@ -102,6 +102,13 @@ def sitemap_xml(urls: DataFrame, url: str = "url", shard: int = 45_000) -> DataF
     return grouped.select("shard", F.concat(F.lit(head), body, F.lit("</urlset>")).alias("content"))
 
 
+def sitemap_index(shards: DataFrame, base: str) -> DataFrame:
+    """(content): the index document that names the shards (shard, content) below ``base``; one row per 45,000 URLs."""
+    entry = F.concat(F.lit(f"<sitemap><loc>{base}/"), F.lpad(F.col("shard").cast("string"), 3, "0"), F.lit(".xml</loc></sitemap>"))
+    head = '<?xml version="1.0" encoding="UTF-8"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
+    return shards.agg(F.concat(F.lit(head), F.array_join(F.sort_array(F.collect_list(entry)), ""), F.lit("</sitemapindex>")).alias("content"))
+
+
 def table_digest(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(digest, n): hash of ordered bucket hashes, each over its sorted row hashes; equal tables give equal digests."""
     row = F.sha2(canonical_json(**{c: F.col(c) for c in cols}), 256)

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kasane.operators.temporal import ambiguous
+
 
 def check(name: str, expected: int | Column, actual: DataFrame, value: str) -> DataFrame:
     """One check row from a one-row frame."""
@@ -79,6 +81,57 @@ def store_checks(t: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def amendment_coverage(t: dict[str, DataFrame]) -> DataFrame:
+    """Rules that every amendment of the sources is a relation and a document link, and none is made up: rows in only one of the two, per kind.
+
+    Table amendments name two (code, version) ends per row; element amendments
+    name two codes. Rows whose ends are unknown are build issues, not relations.
+    """
+    files = t["source_file"].select("file_id", "data_group")
+    rev = t["concept_revision"].select("revision_id", "concept_id").join(t["concept"].select("concept_id"), "concept_id")
+    rows = t["source_record"].join(files, "file_id")
+    lost = t["build_issue"].select(F.col("source_file_id").alias("file_id"), F.col("source_locator").alias("locator")).distinct()
+    table_rows = rows.where("data_group = 'IPC_KAISEI' and record_kind = 'html-table-row'").select("file_id", F.concat(F.lit("table-row:"), F.col("record_number").cast("string")).alias("locator")).join(lost, ["file_id", "locator"], "left_anti")
+    made = t["revision_relation"].where("kind = 'amended_to'").select(F.col("source_file_id").alias("file_id"), F.col("source_locator").alias("locator"))
+    links = t["document_revision_link"].join(rev, "revision_id").select(F.col("source_file_id").alias("file_id"), F.col("source_locator").alias("locator"))
+    elements = rows.where("data_group = 'FI/FI_KAISEI_DOC' and record_kind = 'xml-element'").select(
+        "file_id", F.concat(F.lit("element:infor["), F.col("record_number").cast("string"), F.lit("]")).alias("locator"),
+        F.get_json_object("payload_json", "$.code").alias("code"), F.get_json_object("payload_json", "$.translated").alias("to"),
+    )
+    moved = elements.where("trim(code) <> '' and trim(to) <> ''").select("file_id", "locator")
+    group = files.where("data_group = 'FI/FI_KAISEI_DOC'").select("file_id")
+    relations = t["relation"].where("kind = 'amended_to'").select(F.col("source_file_id").alias("file_id"), F.col("source_locator").alias("locator")).join(group, "file_id", "left_semi")
+    named = elements.where("trim(code) <> ''").select("file_id").distinct()
+    linked = t["document_link"].where("kind = 'fi_amendment'").select(F.col("source_file_id").alias("file_id")).distinct()
+    pairs = {"amendment.table.relation": (table_rows, made), "amendment.table.link": (table_rows, links), "amendment.element.relation": (moved, relations), "amendment.element.link": (named, linked)}
+    out = None
+    for name, (want, have) in pairs.items():
+        one = check(name, 0, symmetric_difference(want, have).agg(F.count(F.lit(1)).alias("n")), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+LINEAGE_TABLES = ("release_source", "concept", "concept_revision", "concept_text", "concept_property", "relation", "revision_relation", "document_link", "document_revision_link", "reference_entry")
+
+
+def package_checks(t: dict[str, DataFrame], date: str, required: Sequence[str], golden: dict[str, int] | None = None) -> DataFrame:
+    """Rules over a whole store: required tables, lineage of every table, one revision in force at most, amendments, row counts a caller expects."""
+    n = F.count(F.lit(1)).alias("n")
+    spark = t["concept"].sparkSession
+    missing = [name for name in required if name not in t]
+    rows = [check("tables.required", 0, spark.createDataFrame([(len(missing),)], "n long"), "n")]
+    for name in LINEAGE_TABLES:
+        if name in t:
+            rows.append(check(f"{name}.lineage", 0, t[name].where("source_file_id is null or trim(coalesce(source_locator, '')) = ''").agg(n), "n"))
+    rows.append(check("concept_revision.active", 0, ambiguous(t["concept_revision"], date).agg(n), "n"))
+    for name, count in (golden or {}).items():
+        rows.append(check(f"{name}.rows", count, t[name].agg(n), "n"))
+    out = amendment_coverage(t)
+    for r in rows:
+        out = out.unionByName(r)
+    return out
+
+
 def inventory_summary(files: DataFrame) -> DataFrame:
     """(dimension, value, n) by status, file type and data group: one pass over grouping sets."""
     g = files.select(F.col("status").alias("a"), F.col("file_type").alias("b"), F.upper(F.trim("data_group")).alias("c"))

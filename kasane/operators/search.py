@@ -96,9 +96,11 @@ def search_page(index: DataFrame, text: str, query: str, owner: Sequence[str], o
 
 def trigrams(index: DataFrame, key: str, text: str) -> DataFrame:
     """Posting table (gram, key), each pair once."""
-    body = F.lower(F.col(text))
-    grams = F.transform(F.sequence(F.lit(1), F.length(body) - 2), lambda i: F.substring(body, i, F.lit(3)))
-    return index.where(F.length(F.col(text)) >= 3).select(F.explode(F.array_distinct(grams)).alias("gram"), F.col(key))
+    chars = F.regexp_extract_all(F.lower(F.col(text)), F.lit("(?s)."), F.lit(0))  # once: a substring by position walks the text again
+    rows = index.where(F.length(F.col(text)) >= 3).select(F.col(key), chars.alias("__c"))
+    at = lambda i, k: F.get("__c", i + k)
+    grams = F.transform(F.sequence(F.lit(0), F.size("__c") - 3), lambda i: F.concat(at(i, 0), at(i, 1), at(i, 2)))
+    return rows.select(F.explode(F.array_distinct(grams)).alias("gram"), key)
 
 
 def by_postings(postings: DataFrame, index: DataFrame, key: str, text: str, term: str) -> DataFrame:

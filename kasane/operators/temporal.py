@@ -39,6 +39,12 @@ def ambiguous(revisions: DataFrame, date: str) -> DataFrame:
     return revisions.where(active_at(date)).groupBy("concept_id").agg(F.count(F.lit(1)).alias("n_active")).where("n_active > 1")
 
 
+def dormant(revisions: DataFrame, date: str) -> DataFrame:
+    """(concept_id, n) of concepts with several revisions of which none is in force."""
+    per = revisions.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(active_at(date), 1)).alias("live"))
+    return per.where("n > 1 and live = 0").drop("live")
+
+
 def pick_revision(revisions: DataFrame, concepts: DataFrame, date: str) -> DataFrame:
     """(concept_id, revision_id, match_status) for every concept.
 

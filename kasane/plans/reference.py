@@ -164,12 +164,17 @@ def _excerpt(spark, d):
 
 
 @query("leak_scan", r"""
-SELECT doc_id, regexp_matches(text, '(?i)(?:\b[a-z]:\\|\\\\[a-z0-9._-]+\\|/(?:home|users|root|tmp|mnt)/)') AS local_path,
-  regexp_matches(text, '(?i)\b(?:api[_-]?key|secret|password|access[_-]?token)\b\s*[:=]\s*\S+') AS secret FROM documents""")
+SELECT doc_id, regexp_matches(text, '(?i)(?:\b[a-z]:[\\/]|\\\\[a-z0-9._-]+\\|[\\/](?:home|users|root|tmp|mnt)[\\/])') AS local_path,
+  regexp_matches(text, '(?i)(?:api[_-]?key|secret|passw(?:or)?d|access[_-]?token)\s*[:=]\s*[^\s,;]+') AS secret FROM documents""")
 def _leak(spark, d):
     return publish.leaks(table(spark, d, "documents"), "doc_id", "text")
 
 
+@query("query_encode", "SELECT DISTINCT relative_path, replace(url_encode(relative_path), '%20', '+') AS value FROM source_file")
+def _query_encode(spark, d):
+    return table(spark, d, "source_file").select("relative_path").distinct().withColumn("value", tx.query_value(F.col("relative_path")))
+
+
 # -- search ----------------------------------------------------------------
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -378,6 +383,12 @@ def _gindex(spark, d):
     return publish.group_index(table(spark, d, "concept"))
 
 
+@query("several_versions_none_active", f"""
+SELECT concept_id, count(*) AS n FROM concept_revision GROUP BY 1 HAVING count(*) > 1 AND count(*) FILTER ((valid_from IS NULL OR valid_from <= '{AS_OF}') AND (valid_to IS NULL OR valid_to >= '{AS_OF}')) = 0""")
+def _dormant(spark, d):
+    return temporal.dormant(table(spark, d, "concept_revision"), AS_OF)
+
+
 # -- joins, sets, quality --------------------------------------------------
 @query("semi_exists", "SELECT concept_id FROM concept c WHERE EXISTS (SELECT 1 FROM concept_revision r WHERE r.concept_id = c.concept_id AND r.version_indicator <> '')")
 def _semi(spark, d):

@@ -28,7 +28,11 @@ SUFFIXES = (".json", ".html", ".md", ".xml", ".txt", ".css")
 #: Gates of a publication policy (fixed values).
 MUST = ("public_delivery", "redistribution", "attribution_required", "notices_reviewed", "evidence_recorded")
 MUST_NOT = ("personal_data", "access_restricted", "embargoed")
-_ACTIVE = re.compile(r"<\s*(?:script|iframe|object|embed)\b|\bon[a-z]+\s*=|javascript:", re.I)
+_ACTIVE = re.compile(
+    r"<\s*(?:script|iframe|object|embed|applet|base|form|frame|portal)\b|<[^>]*\son[a-z]+\s*=|(?:javascript|vbscript|data)\s*:(?!image/)[^\s\"'>]|<\s*meta[^>]*http-equiv\s*=\s*[\"']?refresh"
+    r"|@import\b|url\(\s*[\"']?\s*(?:https?:)?//|(?:src|data|action|formaction|poster|background|manifest)\s*=\s*[\"']?\s*(?:https?:)?//",
+    re.I,
+)
 
 
 class ExportError(RuntimeError):
@@ -52,6 +56,26 @@ def load_policy(path: str, release_id: str) -> dict:
     return policy
 
 
+def check_policy(policy: dict, store: Store) -> None:
+    """The policy's attribution is the one notice of the store, or nothing is published."""
+    notices = {r.attribution.strip() for r in store.t["release_source"].select("attribution").distinct().limit(2).collect()}
+    if len(notices) != 1 or policy["sources"][0].get("attribution", "").strip() not in notices:
+        raise ExportError("the attribution of the policy is not the notice of the store")
+
+
+def document_objects(store: Store, limit: int = CHUNK_BYTES) -> DataFrame:
+    """(key, content) of every document: its segments in order, packed to chunks, with the document's head in each."""
+    head = store.t["document"].select("document_id", F.to_json(F.struct("document_id", "kind", "language", "title")).alias("head"))
+    rows = store.t["document_text"].select(
+        "document_id", "sequence_number", F.to_json(F.struct("sequence_number", "locator", "heading", "text"), {"ignoreNullFields": "false"}).alias("j"),
+    ).withColumn("bytes", F.octet_length("j") + 1)
+    packed = publish.pack(rows, "document_id", ["sequence_number"], "bytes", limit)
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sequence_number", "j"))), lambda s: s["j"]), ",")  # bounded by the limit, or one segment
+    chunk = packed.groupBy("document_id", "chunk").agg(body.alias("body")).join(head, "document_id")
+    name = F.concat(F.lit("documents/"), tx.path_segment(F.col("document_id")), F.when(F.col("chunk") > 1, F.concat(F.lit("-"), F.lpad(F.col("chunk").cast("string"), 3, "0"))).otherwise(""), F.lit(".json"))
+    return chunk.select(name.alias("key"), F.concat(F.lit('{"document":'), "head", F.lit(',"segments":['), "body", F.lit("]}")).alias("content"))
+
+
 def record_objects(store: Store, limit: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
     """(objects, directory): JSON, HTML and Markdown per chunk of a group, chunks packed in lookup order."""
     rows = store.groups().select(
@@ -103,18 +127,21 @@ def tree_digest(rows: DataFrame) -> str:
     return publish.table_digest(rows, ["bytes", "key", "sha256"]).first().digest
 
 
-def export(store: Store, target: str, base_url: str = "https://example.invalid") -> dict:
-    """Writes the tree and its manifest; the target must not exist."""
+def export(store: Store, target: str, policy: str, base_url: str = "https://example.invalid") -> dict:
+    """Writes the tree and its manifest where the policy file allows it; the target must not exist."""
     if os.path.exists(target):
         raise FileExistsError(target)
     if not re.fullmatch(r"https?://[^/?#@\s]+", base_url):
         raise ExportError("the base URL is an origin only")
+    check_policy(load_policy(policy, store.release()["release_id"]), store)
     objects, listing = record_objects(store)
     urls = objects.where(F.col("key").endswith(".html")).select(F.concat(F.lit(base_url + "/"), "key").alias("url"))
-    maps = publish.sitemap_xml(urls).select(F.concat(F.lit("sitemaps/"), F.lpad(F.col("shard").cast("string"), 3, "0"), F.lit(".xml")).alias("key"), "content")
+    shards = publish.sitemap_xml(urls)
+    index = publish.sitemap_index(shards, f"{base_url}/sitemaps").select(F.lit("sitemap.xml").alias("key"), "content")
+    maps = shards.select(F.concat(F.lit("sitemaps/"), F.lpad(F.col("shard").cast("string"), 3, "0"), F.lit(".xml")).alias("key"), "content")
     groups = listing.groupBy("grp").agg(F.to_json(F.sort_array(F.collect_list(F.struct("chunk", "first_key", "last_key", "n", "bytes")))).alias("content"))
     dirs = groups.select(F.concat(F.lit("groups/"), "grp", F.lit(".json")).alias("key"), "content")
-    written = write_objects(objects.unionByName(maps).unionByName(dirs), target)
+    written = write_objects(objects.unionByName(maps).unionByName(dirs).unionByName(index).unionByName(document_objects(store)), target)
     total = written.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()
     written.write.parquet(os.path.join(target, "objects.parquet"))
     canonical = store.t["concept"].where("record_status = 'canonical'").count()

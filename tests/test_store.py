@@ -2,6 +2,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import package_fixture
 from kasane import cli
@@ -84,6 +85,24 @@ def test_checks(store):
     assert failed == []
 
 
+def test_package_checks(store):
+    from kasane.operators import quality
+
+    rows = {r.name: r for r in quality.package_checks(store.t, "2026-01-01", build.TABLES, {"revision_relation": 1}).collect()}
+    assert all(r.match for r in rows.values()) and len(rows) == 17 and rows["amendment.table.relation"].match
+    less = dict(store.t) | {"revision_relation": store.t["revision_relation"].limit(0), "concept_text": store.t["concept_text"].withColumn("source_locator", F.lit(" "))}
+    failed = {r.name for r in quality.package_checks(less, "2026-01-01", [*build.TABLES, "more"]).collect() if not r.match}
+    assert failed == {"amendment.table.relation", "concept_text.lineage", "tables.required"}
+
+
+def test_leak_rules(spark):
+    from kasane.operators import publish
+
+    rows = ["C:/data/x", "see d:\\y", "\\\\host\\share", "in /home/me/", "passwd: abc", "client_secret=1", "api-key = k", "http://a/b and 1/2", "the secret of it", None]
+    got = [(r.local_path, r.secret) for r in publish.leaks(spark.createDataFrame(list(enumerate(rows)), "k int, t string"), "k", "t").orderBy("k").collect()]
+    assert got == [(True, False)] * 4 + [(False, True)] * 3 + [(False, False)] * 3
+
+
 def test_gates(spark, root, store_path, tmp_path):
     with pytest.raises(build.BuildError):
         build.build_store(spark, root, "R", str(tmp_path / "x"))
@@ -159,15 +178,33 @@ def test_cli(spark, store_path, capsys):
     assert json.loads(capsys.readouterr().out)["match_status"] == "exact"
     assert cli.main(["lookup", store_path, "fi", "nope"]) == 1
     assert cli.main(["validate", store_path]) == 0
+    capsys.readouterr()
+    assert cli.main(["children", store_path, "fi", "B01D10/00"]) == 0 and len(json.loads(capsys.readouterr().out)) == 2
+    assert cli.main(["doctor", store_path]) == 0 and cli.main(["doctor", store_path + "x"]) == 1
 
 
 def test_export(spark, store, tmp_path):
     from kasane.sources import export
 
-    a, b = str(tmp_path / "a"), str(tmp_path / "b")
-    manifest = export.export(store, a)
+    import yaml
+
+    a, b, policy = str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "policy.yaml")
+    flags = {k: True for k in export.MUST} | {k: False for k in export.MUST_NOT}
+    said = {"release_id": "JPPM2026001", "sources": [{"flags": flags, "notices": {"ja": "x", "en": "y"}, "attribution": "Made-up notice for tests."}]}
+    for change in ({"attribution": "another"}, {"flags": flags | {export.MUST[0]: False}}):
+        with open(policy, "w") as f:
+            yaml.safe_dump(said | {"sources": [said["sources"][0] | change]}, f)
+        with pytest.raises(export.ExportError):
+            export.export(store, a, policy)
+        assert not os.path.exists(a)
+    with open(policy, "w") as f:
+        yaml.safe_dump(said, f)
+    manifest = export.export(store, a, policy)
+    hand = store.t["document"].where("kind = 'fi_handbook'").first().document_id
+    assert json.loads((tmp_path / "a" / "documents" / f"{hand}.json").read_text())["segments"][0]["text"] == "手引きの本文"
+    assert "<sitemapindex" in (tmp_path / "a" / "sitemap.xml").read_text()
     assert manifest["canonical_concepts"] == manifest["exported_records"] > 0
-    assert export.export(store, b)["tree_sha256"] == manifest["tree_sha256"]
+    assert export.export(store, b, policy)["tree_sha256"] == manifest["tree_sha256"]
     assert export.audit(spark, a, b)["equal"] and export.validate(spark, a)["valid"]
     record = export.find_object(spark, a, "ipc", "8U", "B01D 10/00")
     assert [r["version"] for r in record["revisions"]] == ["2006.01", "2016.01"]
@@ -177,9 +214,9 @@ def test_export(spark, store, tmp_path):
     (tmp_path / "a" / "site" / "more.exe").write_text("x")
     assert {"digest", "size", "active", "extra", "suffix"} <= set(export.validate(spark, a)["issues"])
     with pytest.raises(FileExistsError):
-        export.export(store, b)
+        export.export(store, b, policy)
     with pytest.raises(export.ExportError):
-        export.export(store, str(tmp_path / "c"), "https://x/y")
+        export.export(store, str(tmp_path / "c"), policy, "https://x/y")
     with pytest.raises(export.ExportError):
         export.write_objects(spark.createDataFrame([("../x", "y")], "key string, content string"), a)
 
