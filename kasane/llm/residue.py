@@ -130,10 +130,46 @@ class Classifier:
         self.weight = dict(zip(place, (x.T @ dual).tolist()))
         self.bias = float(bias * dual.sum())
 
+        self.words: dict[str, tuple[float, int, bool, bool]] = {}
+
+    def _word(self, t: str) -> tuple[float, int, bool, bool]:
+        """(weight, features, Japanese, can repeat) of a token by itself."""
+        if t[0] > "\u3000" and _CJK.match(t):
+            out = (0.0, 0, True, t[0].isalpha())
+        elif len(t) > 1 or t.isalnum() or t == "\x00":
+            stem = len(t) > 5
+            out = (self.weight.get(("w", t), 0.0) + (self.weight.get(("p", t[:5]), 0.0) if stem else 0.0), 1 + stem, False, t[0].isalpha())
+        else:
+            out = (0.0, 0, False, t[0].isalpha())
+        if len(self.words) < 1 << 18:  # a cache, no limit of the vocabulary
+            self.words[t] = out
+        return out
+
     def score(self, tokens: Sequence[str]) -> float:
-        found = features(tokens)
-        get = self.weight.get
-        return sum([get(f, 0.0) for f in found]) / max(4, len(found)) ** 0.5 + self.bias
+        """The weights of ``features(tokens)`` over the root of their number, without building them."""
+        weight, words = self.weight.get, self.words
+        total, n, run, before, same = 0.0, 0, "", "^", 1
+        for t in tokens:
+            own, count, wide, letter = words.get(t) or self._word(t)
+            if t == before and letter:
+                same += 1
+                if same == 3:
+                    total, n = total + weight("#again", 0.0), n + 1
+            else:
+                same = 1
+            if wide:
+                run, before = run + t, "j"
+                continue
+            if run:
+                grams = _grams(run)
+                total, n, run = total + sum([weight(g, 0.0) for g in grams]), n + len(grams), ""
+            if count:
+                total, n = total + own + weight((before, t, "b"), 0.0), n + count + 1
+            before = t
+        if run:
+            grams = _grams(run)
+            total, n = total + sum([weight(g, 0.0) for g in grams]), n + len(grams)
+        return total / max(4, n) ** 0.5 + self.bias
 
 
 @lru_cache(maxsize=1)

@@ -111,3 +111,11 @@ def test_merging_tasks_keeps_verdicts():
                 tree.add(residue.mask(f"Your session has {word}."))
             assert all(residue.judged(tuple(t)) == verdict for ts in tree.leaves.values() for t, _, verdict in ts)
             assert sum(n for ts in tree.leaves.values() for _, n, _ in ts) == 3
+
+
+def test_score_is_the_sum_of_the_features():
+    c = residue.classifier()
+    for s in residue.samples.lines(residue.samples.RESIDUE + residue.samples.ORDINARY) + UNSEEN + SLOTS + ["TBD TBD TBD TBD", "本文 本文 本文 a", ""]:
+        tokens = residue.mask(residue.fold(s))
+        found = residue.features(tokens)
+        assert abs(c.score(tokens) - (sum(c.weight.get(f, 0.0) for f in found) / max(4, len(found)) ** 0.5 + c.bias)) < 1e-9
