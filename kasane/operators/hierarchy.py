@@ -355,10 +355,14 @@ def record_links(records: DataFrame, release_id: str | None = None) -> DataFrame
     return _parent_links(_record_parents(records.where(F.col("release_id").eqNullSafe(F.lit(release_id)))))
 
 
-def record_depths(records: DataFrame, release_id: str | None = None) -> DataFrame:
-    """(record, root_record, depth) of every record with a parent."""
-    out = Forest(record_links(records, release_id)).nodes()
-    return out.select(F.col("v").alias("record"), F.col("root").alias("root_record"), "depth")
+def record_depths(records: DataFrame) -> DataFrame:
+    """(release_id, record, root_record, depth): as ``record_hierarchy``, without the work for paths and intervals."""
+    one = Scratch(records.sparkSession, "releases").save(_record_parents(records, F.coalesce("release_id", F.lit(""))))
+    made = Forest(_parent_links(one)).nodes()
+    return one.select("v").join(made, "v", "left").select(
+        F.substring_index("v", "|", 1).alias("release_id"), _bare("v").alias("record"), _bare(F.coalesce("root", "v")).alias("root_record"),
+        F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+    )
 
 
 def record_hierarchy(records: DataFrame) -> DataFrame:
