@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kasane.functions.text import group_key, html_escape
 from kasane.operators.temporal import edition_rank
-from kasane.runtime import Scratch
+from kasane.runtime import Scratch, shuffle_width
 
 #: Local paths and secrets that must not be published (fixed values).
 LOCAL_PATH = r"(?i)(?:\b[a-z]:[\\/]|\\\\[a-z0-9._-]+\\|[\\/](?:home|users|root|tmp|mnt)[\\/])"
@@ -68,9 +68,56 @@ def directory(packed: DataFrame, group: str, key: str, size: str) -> DataFrame:
     return d.withColumn("prev_chunk", F.lag("chunk").over(w)).withColumn("next_chunk", F.lead("chunk").over(w))
 
 
+def _ends(ranges: DataFrame, *keep: str) -> DataFrame:
+    """Two rows per range, ``__at`` and ``__kind``: its start (0) and its end (2), so that a key (1) at either lies between."""
+    both = [F.struct(F.col(c).alias("__at"), F.lit(kind).alias("__kind")) for c, kind in (("first_key", 0), ("last_key", 2))]
+    return ranges.select(*keep, F.explode(F.array(*both)).alias("__end")).select(*keep, "__end.*")
+
+
+def _spans(listing: DataFrame, group: str) -> DataFrame:
+    """The ranges with the blocks of cells whose keys they hold. Cell n of a group lies between its n-th end and the next."""
+    ranges = listing.select(group, "chunk", "first_key", "last_key").where(F.col(group).isNotNull() & (F.col("first_key") <= F.col("last_key")))
+    w = Window.partitionBy(group)
+    numbered = ranges.withColumn("__i", F.row_number().over(w.orderBy("first_key")))
+    ends = _ends(numbered, group, "chunk", "first_key", "last_key", "__i").withColumn("__n", F.row_number().over(w.orderBy("__at", "__kind")).cast("long"))
+    cells = ends.groupBy(group, "__i").agg(*(F.first(c).alias(c) for c in ("chunk", "first_key", "last_key")), F.min("__n").alias("__from"), F.max("__n").alias("__to"))
+    return cells.select(group, "chunk", "first_key", "last_key", _blocks().alias("__blocks"))
+
+
+def _blocks() -> Column:
+    """The fewest blocks (``__level``, ``__block``) of 2^level cells that make up the cells from ``__from`` to before ``__to``: two per level at most, one for a range that overlaps no other."""
+    shift = lambda x, h: F.call_function("shiftright", x, h)
+    size = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h)
+    levels = F.sequence(F.lit(0), F.length(F.bin(F.col("__to") - F.col("__from"))) - 1)
+    bounds = F.transform(levels, lambda h: F.struct(h.alias("h"), shift(F.col("__from") + size(h) - 1, h).alias("a"), shift(F.col("__to"), h).alias("b")))
+    block = lambda x, odd, at: F.when(odd % 2 == 1, F.struct(x["h"].alias("__level"), at.alias("__block")))
+    return F.array_compact(F.flatten(F.transform(F.filter(bounds, lambda x: x["a"] < x["b"]), lambda x: F.array(block(x, x["a"], x["a"]), block(x, x["b"], x["b"] - 1)))))
+
+
 def find_chunk(keys: DataFrame, listing: DataFrame, group: str, key: str) -> DataFrame:
-    """Joins keys to the chunk whose range holds them: equality on the group, range inside it."""
-    return keys.join(listing.select(group, "chunk", "first_key", "last_key"), group).where(F.col(key).between(F.col("first_key"), F.col("last_key")))
+    """Joins keys to every chunk whose range holds them, inside one group.
+
+    No key meets a range that does not hold it: the ends of a group's ranges, in
+    order, divide it into cells, sorting keys among the ends gives each its cell,
+    and ranges are joined by equality on blocks of cells. So the work grows with
+    keys, ranges and rows returned (times the logarithm of the ranges where they
+    overlap). A group's keys are sorted in several parts, each with a copy of the
+    ends; the copies stay below a quarter of the keys.
+    """
+    spark = keys.sparkSession
+    spans = Scratch(spark, "lookup").save(_spans(listing, group))
+    parts = max(1, min(2 * shuffle_width(spark), keys.count() // (8 * max(1, spans.count()))))
+    levels = [r[0] for r in spans.select(F.explode("__blocks.__level")).distinct().collect()] or [0]
+    hashed = [c for c, kind in keys.dtypes if "map" not in kind and "variant" not in kind]
+    part = F.pmod(F.xxhash64(*hashed), F.lit(parts)).cast("int")
+    asked = keys.where(F.col(group).isNotNull() & F.col(key).isNotNull()).select("*", F.col(key).alias("__at"), F.lit(1).alias("__kind"), part.alias("__part"))
+    ends = _ends(spans, group).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    w = Window.partitionBy(group, "__part").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = asked.unionByName(ends, allowMissingColumns=True).withColumn("__cell", F.count(F.when(F.col("__kind") != 1, 1)).over(w)).where("__kind = 1")
+    probes = [F.struct(F.lit(h).alias("__level"), F.call_function("shiftright", F.col("__cell"), F.lit(h)).alias("__block")) for h in levels]
+    probed = cells.select(*keys.columns, F.explode(F.array(*probes)).alias("__p")).select(*keys.columns, "__p.*")
+    blocks = spans.select(group, "chunk", "first_key", "last_key", F.explode("__blocks").alias("__p")).select(group, "chunk", "first_key", "last_key", "__p.*")
+    return probed.join(blocks, [group, "__level", "__block"]).drop("__level", "__block")
 
 
 def global_index(rows: DataFrame, order: Sequence[str], name: str = "n") -> DataFrame:

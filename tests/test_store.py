@@ -103,6 +103,24 @@ def test_leak_rules(spark):
     assert got == [(True, False)] * 4 + [(False, True)] * 3 + [(False, False)] * 3
 
 
+def test_find_chunk(spark):
+    """Overlapping, nested, repeated, empty and open ranges, and keys in several parts, against all pairs; no join tests a range."""
+    from kasane.operators import publish
+
+    ranges = [("a", 10 * i, 10 * i + 7) for i in range(8)] + [("a", 7, 10), ("a", 0, 75), ("a", 0, 75), ("a", 3, 3), ("a", 9, 4), ("a", None, 5), ("b", 0, 99), (None, 0, 99)]
+    ranges = [(g, n % 11 or None, a, b) for n, (g, a, b) in enumerate(ranges)]
+    keys = [(n, "abc"[n % 3] if n % 50 else None, n % 83 - 2 if n % 40 else None) for n in range(1000)]
+    for kind, of in (("int", lambda x: x), ("string", lambda x: None if x is None else f"{x + 9:03d}")):
+        k = spark.createDataFrame([(n, g, of(x)) for n, g, x in keys], f"n int, g string, k {kind}")
+        for some in (ranges, []) if kind == "int" else (ranges[:8],):
+            found = publish.find_chunk(k, spark.createDataFrame([(g, c, of(a), of(b)) for g, c, a, b in some], f"g string, chunk int, first_key {kind}, last_key {kind}"), "g", "k")
+            want = [(g, n, of(x), c, of(a), of(b)) for n, g, x in keys for h, c, a, b in some if g is not None and g == h and None not in (x, a, b) and a <= x <= b]
+            assert found.columns == ["g", "n", "k", "chunk", "first_key", "last_key"]
+            assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+            joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+            assert not any(">=" in line or "<=" in line for line in joins)
+
+
 def test_gates(spark, root, store_path, tmp_path):
     with pytest.raises(build.BuildError):
         build.build_store(spark, root, "R", str(tmp_path / "x"))
